@@ -8,16 +8,18 @@ so sketches merge; equal registers are about as likely as the Jaccard similarity
 1. Documents with equal sets are one class; only one of each class goes on.
 2. Bands of ROWS registers are hashed to keys; classes that share a key are candidates. A pair at
    85 per cent shares no key with a probability of (1 - 0.85 ** ROWS) ** BANDS = 2e-7.
-3. In each group of a key, every class is compared with the smallest one (the leader): first by
-   the joint maximum-likelihood estimate from both sketches and set sizes, which only drops pairs
-   estimated under PRUNE, then exactly, on the full sets from the texts. Leaders' rows are dealt in
-   pieces of PIECE members, so a large group is no single task's.
-4. Classes of a group that are not yet connected are compared with each other, unless the
-   distances to the leader (1 - similarity is a metric) rule a link out.
+3. In each group of a key, every class is compared with the leader, the class that shares most keys
+   with others: by the joint maximum-likelihood estimate from both sketches and set sizes, and
+   then, from PRUNE on, on full sets. Links found so give components, which hold nearly all.
+4. Where a leader's group still has members of different components, its members' differences
+   from the leader (shingles that only one of the two sets has) are listed. Two members' symmetric
+   difference is |A| + |B| - 2 |A & B| of these lists, so their similarity is exact. Members with
+   no link to the leader are the only ones that can add links; blocks of BLOCK of them are indexed
+   by shingle, and the group's members stream past. A block tells only links that join components.
 5. Links are contracted to components; a component is named by its smallest doc_id.
 
-So no pairs within a group are formed that are already known to be connected, and every link
-between different texts either is verified or lies within a component found without it.
+So no pairs within a group are made into rows, and a link between different texts that share a key
+is either found or lies within a component found without it.
 
 Empty sets (null or blank text) are linked with nothing. Repeated rows and equal doc_ids: a row
 each; equal sets share the component. Null doc_id counts as larger than all others. Extra
@@ -32,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -43,10 +45,10 @@ SHINGLE, PERCENT = 3, 85
 ROWS, BANDS = 6, 32
 M = ROWS * BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-#: Pairs estimated under this are dropped: 4 standard errors (0.036) below the 0.7 that step 4 must still know.
-PRUNE = 0.55
-#: Distance of two sets that are just linked.
-REACH = 1 - PERCENT / 100 + 1e-9
+#: Pairs estimated under this are not tested in step 3: over 5 standard errors (0.026 at 0.85) below a link.
+PRUNE = 0.7
+#: Members without a link to their leader that are held at once in step 4.
+BLOCK = 4096
 #: Members of a group that are compared in one piece.
 PIECE = 256
 
@@ -152,8 +154,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def _keys(classes: DataFrame) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = batch.column(1).to_pylist()
-        keys = [k for r in raw for k in band_keys(np.frombuffer(r, np.uint16))]
+        keys = [k for r in batch.column(1).to_pylist() for k in band_keys(np.frombuffer(r, np.uint16))]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys, pa.int64())], names=["node", "key"])
 
     return map_arrow(classes.select("node", "sketch"), fn, "node long, key long")
@@ -167,28 +168,30 @@ def _dealt(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     return members.unionByName(leaders).join(rows.select("node", *columns), "node").repartition("leader", "piece").sortWithinPartitions("leader", "piece", F.col("node") != F.col("leader"))
 
 
+_KINDS = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+
+
 def _compared(dealt: DataFrame, load: Callable, compare: Callable, out: str) -> DataFrame:
-    """compare(leader, [members]) over runs of rows that share a leader and piece; load makes a row's value."""
+    """compare([(leader, node, leader's value, node's value)]) over the pairs of each batch; load makes a row's value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first = None, None
         for batch in batches:
-            heads = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            values = list(zip(*(batch.column(k).to_pylist() for k in range(3, batch.num_columns)), strict=True))
-            rows, members = [], []
+            pairs = []
+            heads = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            values = zip(*(batch.column(k).to_pylist() for k in range(3, batch.num_columns)), strict=True)
             for (leader, piece, node), value in zip(heads, values, strict=True):
                 if (leader, piece) != at:
-                    rows += compare(at[0], first, members) if members else []
-                    at, first, members = (leader, piece), None, []
+                    at, first = (leader, piece), None
                 if (own := load(*value)) is None:
                     continue
                 if node == leader:
                     first = own
                 else:
-                    members.append((node, own))
-            rows += compare(at[0], first, members) if members else []
-            names = [c.split()[0] for c in out.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=names)
+                    pairs.append((leader, node, first, own))
+            rows = compare(pairs) if pairs else []
+            names = [c.split() for c in out.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS[kind]) for k, (_, kind) in enumerate(names)], names=[n for n, _ in names])
 
     return dealt.select("leader", "piece", "node", *dealt.columns[3:]).mapInArrow(run, out)
 
@@ -196,32 +199,117 @@ def _compared(dealt: DataFrame, load: Callable, compare: Callable, out: str) ->
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """leader, node of the pairs whose estimate is PRUNE or more."""
 
-    def compare(leader: int, first: tuple, members: list) -> list:
-        registers = np.stack([m[1][1] for m in members])
-        up, down = (first[1] > registers).sum(axis=1), (first[1] < registers).sum(axis=1)
-        sizes = np.array([m[1][0] for m in members], np.float64)
-        found = estimate(up, down, np.full(len(members), float(first[0])), sizes)
-        return [(leader, m[0]) for m, j in zip(members, found, strict=True) if j >= PRUNE]
+    def compare(pairs: list) -> list:
+        one, two = (np.stack([p[k][1] for p in pairs]) for k in (2, 3))
+        sizes = [np.array([p[k][0] for p in pairs], np.float64) for k in (2, 3)]
+        found = estimate((one > two).sum(axis=1), (one < two).sum(axis=1), *sizes)
+        return [p[:2] for p, j in zip(pairs, found, strict=True) if j >= PRUNE]
 
     return _compared(_dealt(pairs, classes, ["n", "sketch"]), lambda n, raw: (n, np.frombuffer(raw, np.uint16)), compare, "leader long, node long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """leader, node, both, either: sizes of intersection and union of the full sets."""
+_TESTED = "leader long, node long, n_leader long, n long, both long, differences array<long>"
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, with_differences: bool) -> DataFrame:
+    """leader, node, sizes of both sets and of their intersection, and (if asked for) the shingles that only one of them has."""
 
-    def compare(leader: int, first: np.ndarray, members: list) -> list:
-        return [(leader, node, *similarity(first, own)) for node, own in members]
+    def compare(pairs: list) -> list:
+        out = []
+        for leader, node, one, two in pairs:
+            both, _ = similarity(one, two)
+            out.append((leader, node, len(one), len(two), both, np.setxor1d(one, two, assume_unique=True).view(np.int64) if with_differences else []))
+        return out
 
     def load(text: str, set_key: bytes) -> np.ndarray | None:
         """None for a text that shares its doc_id with the class's, but isn't it."""
         hashes = shingles(text.encode() if text is not None else None)
         return hashes if key_of(hashes) == set_key else None
 
-    return _compared(_dealt(pairs, texts, ["text", "set_key"]), load, compare, "leader long, node long, both long, either long").distinct()
+    return _compared(_dealt(pairs, texts, ["text", "set_key"]), load, compare, _TESTED)
+
+
+def _linked() -> Column:
+    return F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("n") + F.col("n_leader") - F.col("both"))
+
 
+_IN_BLOCKS = "leader", "block", "streams", "node", "root", "n", "differences"
 
-def _linked() -> F.Column:
-    return F.lit(100) * F.col("both") >= F.lit(PERCENT) * F.col("either")
+
+def _joining(tested: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: links within leaders' groups that join different components."""
+    placed = tested.dropDuplicates(["leader", "node"]).withColumn("linked", _linked()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = placed.where(~F.col("linked")).groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(blocks, "leader")
+    held = rows.where(~F.col("linked")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("streams", F.lit(False))
+    streams = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("streams", F.lit(True))
+    dealt = held.select(*_IN_BLOCKS).unionByName(streams.select(*_IN_BLOCKS)).repartition("leader", "block").sortWithinPartitions("leader", "block", "streams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None
+        for batch in batches:
+            found = []
+            differences = batch.column(6)
+            values, offsets = differences.values.to_numpy(), differences.offsets.to_numpy()
+            for k, (leader, number, streaming, node, root, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+                if (leader, number) != at:
+                    at, block = (leader, number), Block()
+                own = values[offsets[k] : offsets[k + 1]]
+                if streaming:
+                    found += block.links(node, root, n, own)
+                else:
+                    block.add(node, root, n, own)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+class Block:
+    """Members of a group, indexed by their differences from its leader."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[int, int]] = []
+        self.sizes: list[tuple[int, int]] = []
+        self.parts: list[np.ndarray] = []
+        self.index: tuple | None = None
+        self.parent: dict[int, int] = {}
+
+    def add(self, node: int, root: int, n: int, differences: np.ndarray) -> None:
+        self.rows.append((node, root))
+        self.sizes.append((n, len(differences)))
+        self.parts.append(differences.copy())
+
+    def _find(self, x: int) -> int:
+        while (up := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = self.parent[up] if up in self.parent else up
+            x = up
+        return x
+
+    def links(self, node: int, root: int, n: int, differences: np.ndarray) -> list[tuple[int, int]]:
+        """Links to held members whose component is another one so far."""
+        if self.index is None:
+            values = np.concatenate(self.parts) if self.parts else np.empty(0, np.int64)
+            owner = np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])
+            order = np.argsort(values, kind="stable")
+            self.index = (values[order], owner[order], np.array(self.sizes, np.int64).reshape(-1, 2))
+            self.parts = []
+        values, owner, sizes = self.index
+        low, high = np.searchsorted(values, differences, "left"), np.searchsorted(values, differences, "right")
+        hit = high > low
+        if not hit.any():
+            return []
+        shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]), minlength=len(sizes))
+        apart = sizes[:, 1] + len(differences) - 2 * shared
+        # 100 |x & y| >= PERCENT |x | y|, with both doubled
+        total = sizes[:, 0] + n
+        out = []
+        for k in np.flatnonzero((shared > 0) & (100 * (total - apart) >= PERCENT * (total + apart))).tolist():
+            other, its = self.rows[k]
+            one, two = self._find(root), self._find(its)
+            if one != two:
+                self.parent[one] = two
+                out.append((node, other))
+        return out
 
 
 def _classes(sketches: DataFrame) -> DataFrame:
@@ -233,37 +321,22 @@ def _classes(sketches: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: verified links between classes that connect all that are linked."""
     keys = materialize(_keys(classes), "keys")
-    groups = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    grouped = materialize(keys.join(groups, "key"), "groups")
-    pairs = grouped.where(F.col("node") != F.col("leader")).select("leader", "node").distinct()
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    grouped = materialize(keys.join(sizes, "key"), "groups")
+    crowds = grouped.groupBy("node").agg(F.sum("size").alias("crowd"))
+    leaders = grouped.join(crowds, "node").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("node")).alias("back"))).alias("x")).select("key", (-F.col("x.back")).alias("leader"))
+    pairs = materialize(grouped.join(leaders, "key").where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "pairs")
+
     likely = materialize(_estimated(pairs, classes), "likely")
-    tested = materialize(_verified(likely, _texts(docs, classes, likely)), "tested")
-    near = tested.where(_linked()).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    tested = _verified(likely, _texts(docs, classes, likely), False).where(_linked())
+    near = materialize(tested.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near")
     roots = components(near)
 
-    # distance to the leader in each group: 0 for itself, known where tested, over 2 * REACH elsewhere
-    far = F.lit(1) - F.col("both") / F.col("either")
-    known = grouped.join(tested.select("leader", "node", far.alias("far")), ["leader", "node"], "left")
-    placed = known.withColumn("far", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")))
-    placed = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where((F.col("low") != F.col("high")) & (F.col("n") > 2)).select("key")
-    rest = placed.join(mixed, "key").where(F.col("node") != F.col("leader"))
-    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "far")])
-    near_leader = F.coalesce(F.col("far") <= REACH, F.lit(False))
-    # two members near the leader are connected through it, so one of a pair is not near
-    both = side(rest.where(~near_leader), "a").join(side(rest, "b"), "key").where(F.col("a_root") != F.col("b_root"))
-    b_near = F.coalesce(F.col("b_far") <= REACH, F.lit(False))
-    apart = F.coalesce(F.abs(F.col("a_far") - F.col("b_far")) > REACH, F.col("a_far").isNull() & b_near)
-    open_pairs = both.where(~apart & (b_near | (F.col("a_node") < F.col("b_node"))))
-    more = materialize(open_pairs.select(F.least("a_node", "b_node").alias("leader"), F.greatest("a_node", "b_node").alias("node")).distinct(), "open")
-    if more.isEmpty():
-        return near
-    likely = materialize(_estimated(more, classes), "likely")
-    if likely.isEmpty():
-        return near
-    again = _verified(likely, _texts(docs, classes, likely)).where(_linked())
-    return near.unionByName(materialize(again.select(F.col("leader").alias("a"), F.col("node").alias("b")), "again"))
+    placed = pairs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("leader")
+    rest = materialize(pairs.join(mixed, "leader"), "mixed")
+    listed = _verified(rest, _texts(docs, classes, rest), True)
+    return near.unionByName(materialize(_joining(listed, roots), "joining"))
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
