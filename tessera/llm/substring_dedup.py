@@ -2,8 +2,10 @@
 
 A window of WINDOW words, however it lies, covers one of its document's non-overlapping blocks of
 BLOCK words. So of two equal windows, each covers a place where a rolling BLOCK-word window of
-one document equals a reference block of the other. That gives four steps, in one plan:
+one document equals a reference block of the other. That gives five steps, in one plan:
 
+0. Rows whose text another row with a smaller doc_id has are copies: every window of theirs starts
+   earlier there, so they are cut whole and take no part in what follows.
 1. Index and probe: documents are read in chunks. Of every chunk, reference blocks and all other
    rolling windows go, as 32-bit hashes with places, to the bucket of their hash. Windows that a
    chunk has more than once are anchors at once, and go out once for all of their places.
@@ -239,7 +241,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _HITS, _HIT_TYPES = "id long, places binary", (pa.int64(), pa.binary())
 
-#: Rows between steps 3 and 4: windows for a bucket, and places known to be repeats (part below 0).
+#: Rows between steps 3 and 4: windows for a bucket (keys, marks), and places known to be repeats (part below 0).
 _WINDOWS = "part long, keys binary, marks binary, ids binary, counts binary, starts binary"
 _WINDOW_TYPES = (pa.int64(), *[pa.binary()] * 5)
 
@@ -264,42 +266,87 @@ def _extend(buckets: int):
             # chunks are in (doc_id, start) order, so the first place is the earliest
             lead = first[inverse]
             later = (ids != ids[lead]) | (starts != starts[lead])
-            rows = [(-1, None, None, np.array([chunk.ids[d]], np.int64).tobytes(), None, own.astype("<u4").tobytes()) for d, own in _split(docs[later], starts[later])]
+            rows = [(-1 - chunk.docs[0][0] % buckets, None, None, *_runs(ids[later]), starts[later].astype("<u4").tobytes())]
             at = np.sort(first)
             for part, key, mark, own, start in _split((marks[at] % np.uint32(buckets)).astype(np.int32), keys[at], marks[at], ids[at], starts[at]):
-                edge = np.flatnonzero(np.diff(own, prepend=own[0] - 1 if own[0] > -LAST else own[0] + 1))
-                rows.append((part, key.tobytes(), mark.tobytes(), own[edge].tobytes(), np.diff(edge, append=len(own)).astype("<u4").tobytes(), start.astype("<u4").tobytes()))
+                rows.append((part, key.tobytes(), mark.tobytes(), *_runs(own), start.astype("<u4").tobytes()))
             yield _batch(rows, _WINDOWS, _WINDOW_TYPES)
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows by part: per document, the starts of windows that start earlier elsewhere."""
+#: Places by document on their way to the documents: one row per bucket and range of documents.
+_PACKS = "part long, ids binary, counts binary, starts binary"
+_PACK_TYPES = (pa.int64(), *[pa.binary()] * 3)
+
+
+def _runs(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted ids as each different one and how often it stands."""
+    edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, np.int64)
+    return ids[edge].tobytes(), np.diff(edge, append=len(ids)).astype("<u4").tobytes()
+
+
+def _told(ids: np.ndarray, starts: np.ndarray, ranges: int) -> list[tuple]:
+    part = (_mixed(ids.astype(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+    return [(p, *_runs(own), at.astype("<u4").tobytes()) for p, own, at in _split(part, ids, starts)]
+
+
+def _spread(ids: bytes, counts: bytes) -> np.ndarray:
+    return np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, "<u4"))
+
+
+def _later(ranges: int):
+    """Of rows by part: the starts of windows that start earlier elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def told() -> list[tuple]:
+            if not held:
+                return []
+            keys, marks, ids, starts = (np.concatenate([h[k] for h in held]) for k in range(4))
+            order = np.lexsort((starts, ids, marks, keys))
+            keys, marks, ids, starts = keys[order], marks[order], ids[order], starts[order]
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+            later = np.flatnonzero((ids != ids[lead]) | (starts != starts[lead]))
+            later = later[np.argsort(ids[later], kind="stable")]
+            return _told(ids[later], starts[later], ranges)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for part, keys, marks, ids, counts, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part < 0:
+                    rows += _told(_spread(ids, counts), np.frombuffer(starts, "<u4").astype(np.int64), ranges)
+                    continue
+                if part != now:
+                    rows += told()
+                    now, held = part, []
+                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(marks, np.uint32), _spread(ids, counts), np.frombuffer(starts, "<u4").astype(np.int64)))
+            yield _batch(rows, _PACKS, _PACK_TYPES)
+        yield _batch(told(), _PACKS, _PACK_TYPES)
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packs by part: a row per document."""
     now, held = None, []
 
     def told() -> list[tuple]:
         if not held:
             return []
-        keys, marks, ids, starts = (np.concatenate([h[k] for h in held]) for k in range(4))
-        order = np.lexsort((starts, ids, marks, keys))
-        keys, marks, ids, starts = keys[order], marks[order], ids[order], starts[order]
-        fresh = np.ones(len(keys), bool)
-        fresh[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
-        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
-        later = (ids != ids[lead]) | (starts != starts[lead])
-        return [(int(d), own.astype("<u4").tobytes()) for d, own in _split(ids[later], starts[later])]
+        ids, starts = (np.concatenate([h[k] for h in held]) for k in range(2))
+        return [(d, own.astype("<u4").tobytes()) for d, own in _split(ids, starts)]
 
     for batch in batches:
         rows: list[tuple] = []
-        for part, keys, marks, ids, counts, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part < 0:
-                rows.append((int(np.frombuffer(ids, np.int64)[0]), starts))
-                continue
+        for part, ids, counts, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part != now:
                 rows += told()
                 now, held = part, []
-            held.append((np.frombuffer(keys, np.uint64), np.frombuffer(marks, np.uint32), np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, "<u4")), np.frombuffer(starts, "<u4").astype(np.int64)))
+            held.append((_spread(ids, counts), np.frombuffer(starts, "<u4").astype(np.int64)))
         yield _batch(rows, _HITS, _HIT_TYPES)
     yield _batch(told(), _HITS, _HIT_TYPES)
 
@@ -307,8 +354,11 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text, repeats in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for doc_id, text, repeats, copy in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words = plain_words(text)
+            if copy and len(words) >= WINDOW:
+                rows.append((doc_id, len(words), len(words), "", [0, len(words)]))
+                continue
             if not repeats:
                 rows.append((doc_id, len(words), 0, b" ".join(words).decode("utf-8", "replace"), []))
                 continue
@@ -334,15 +384,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // (WORD_BYTES * BUCKET_WORDS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"))
+    # every join by id below reads the same exchange of the texts
+    copies = F.coalesce(F.array_contains("digests", F.md5("text")), F.lit(False))
+    texts = texts.join(_copies(texts), "id", "left").select("doc_id", "text", "id", copies.alias("copy"))
+    fresh = texts.where(~F.col("copy"))
 
-    emitted = texts.select("doc_id", "text").mapInArrow(_emit(buckets), _ROWS)
+    emitted = fresh.select("doc_id", "text").mapInArrow(_emit(buckets), _ROWS)
     anchors = emitted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_anchors, _ROWS)
     hits = anchors.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_by_document, _HITS)
 
-    # both joins read the same exchange of the texts
-    around = texts.join(_merged(hits), "id").select("doc_id", "text", "places")
-    windows = around.mapInArrow(_extend(buckets), _WINDOWS)
-    spread = F.when(F.col("part") < 0, F.xxhash64("ids")).otherwise(F.col("part"))
-    later = windows.repartition(spread).sortWithinPartitions("part").mapInArrow(_later, _HITS)
-    joined = texts.join(_merged(later), "id", "left").select("doc_id", "text", "places")
+    windows = fresh.join(_merged(hits), "id").select("doc_id", "text", "places").mapInArrow(_extend(buckets), _WINDOWS)
+    later = windows.repartition("part").sortWithinPartitions("part").mapInArrow(_later(buckets), _PACKS)
+    cut = later.repartition("part").sortWithinPartitions("part").mapInArrow(_unpacked, _HITS)
+    joined = texts.join(_merged(cut), "id", "left").select("doc_id", "text", "places", "copy")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, repeats array<long>")
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """id, digests: the texts of a row with this id that a row with a smaller id has too."""
+    digests = texts.select("id", F.md5("text").alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
+    return digests.join(first.select("digest", "first"), "digest").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("digest").alias("digests"))
