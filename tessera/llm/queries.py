@@ -60,4 +60,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_quality, op3_token_store, op4_decontaminate, op5_substring_dedup, op6_near_dup, op7_mixing, op8_secrets, op9_url_filter, op10_licenses)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": rf"""
+with d as (select doc_id, {_ALNUM} ws from documents),
+i as (select item_id, {_ALNUM} ws from benchmark),
+iw as (select distinct item_id, least(len(ws), 10) n, array_to_string(ws[s : s + 9], ' ') k from i, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(s) where len(ws) > 0),
+dw as (select doc_id, n, s, array_to_string(ws[s : s + n - 1], ' ') k from d, (select distinct n from iw) l, unnest(range(1, len(ws) - n + 2)) t(s)),
+h as (select doc_id, item_id, dw.n, s from dw join iw on dw.n = iw.n and dw.k = iw.k),
+p as (select doc_id, count(distinct q) n_hit from h, unnest(range(s, s + n)) t(q) group by doc_id),
+m as (select doc_id, count(*) n_items, string_agg(x, ',' order by x) l from (select distinct doc_id, cast(item_id as varchar) x from h) t group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(l, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join p on d.doc_id = p.doc_id left join m on d.doc_id = m.doc_id""",
+    "op5_substring_dedup": rf"""
+with d as (select doc_id, {_WORDS} ws from documents),
+w as (select doc_id, s, array_to_string(ws[s : s + 19], ' ') k from d, unnest(range(1, len(ws) - 18)) t(s)),
+f as (select doc_id, s, min(doc_id * 1000000000 + s) over (partition by k) f from w),
+g as (select distinct doc_id, q from f, unnest(range(s, s + 20)) t(q) where doc_id * 1000000000 + s > f),
+u as (select doc_id, q, ws[q] x from d, unnest(range(1, len(ws) + 1)) t(q)),
+kept as (select u.doc_id, string_agg(x, ' ' order by u.q) l, count(*) n from u anti join g on u.doc_id = g.doc_id and u.q = g.q group by u.doc_id)
+select d.doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(l, '')) kept_sha256 from d left join kept on d.doc_id = kept.doc_id""",
+    "op7_mixing": rf"""
+with d as (select doc_id, source, cast(len({_WORDS}) as bigint) size, md5('{mixing.SEED}:' || coalesce(cast(doc_id as varchar), '')) o from documents),
+s as (select source, cast(sum(size) as bigint) size, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end w from d group by source),
+r as (select *, coalesce(sum(2 * size) over b, 0) used, coalesce(sum(w) over b, 0) wused, row_number() over (order by 2 * size / w, w, size) k, sum(size) over () total, sum(w) over () ws
+  from s window b as (order by 2 * size / w, w, size rows between unbounded preceding and 1 preceding)),
+l as (select *, (cast(1.5 as double) * total - used) / (ws - wused) rate from r),
+c as (select min(k) k, arg_min(rate, k) rate from l where rate * w <= 2 * size),
+t as (select source, size source_size, case when l.k < c.k then cast(2 * size as double) else c.rate * w end target from l, c),
+x as (select *, cast(floor(target + 0.5) as bigint) goal from t)
+select doc_id, size, source_size, target, cast(case when source_size = 0 then 0 else goal // source_size * size + greatest(0, least(size, goal % source_size - coalesce(sum(size) over (partition by d.source order by o, size rows between unbounded preceding and 1 preceding), 0))) end as bigint) taken
+from d join x on d.source is not distinct from x.source""",
+    "op9_url_filter": rf"""
+with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') raw from u),
+p as (select page_id, translate(raw, {_ABC}) host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') path from h),
+r(rule_host, rule_path, verdict) as (values {", ".join(str(x) for x in url_filter.RULES)}),
+m as (select page_id, host, path, rule_host || rule_path rule, verdict, row_number() over (partition by page_id, host, path order by length(rule_host || rule_path) desc, rule_host || rule_path) k
+  from p left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
+select page_id, host, path, rule, coalesce(verdict, '{url_filter.DEFAULT}') verdict from m where k = 1""",
+}
