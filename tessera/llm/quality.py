@@ -4,7 +4,7 @@ Each whole text is measured under a public vocabulary: characters per token, the
 tokens that fall back to bytes, and the entropy of its tokens as a share of the most that
 its number of tokens allows. Rejection bands are set per language: median -/+ SPREAD times
 the distance from the median to the quartile beyond it, over every measured document of the
-language; languages with fewer than MIN_DOCS documents share the bands of all documents.
+language, and wider by SHORT / sqrt(tokens), as short texts vary more; languages with fewer than MIN_DOCS documents share the bands of all documents.
 
 Null or empty text: no words, all measures 0, base_failed. Null language: a language of its
 own. Repeated rows are judged row by row. Extra columns are ignored by ``measure`` and kept
@@ -25,9 +25,11 @@ from .tokens import PieceBpe, loaded, public_path
 SYMBOLS = b"#*$%&|<>"
 #: A text needs this many words, and at most this percentage of them in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Width of a band in quartile distances, the least distance it is set from, and the documents a language needs.
-SPREAD = 6.0
-LEAST = {"chars_per_token": 0.12, "byte_share": 0.02, "entropy_share": 0.015}
+#: Width of a band in quartile distances, the least distance it is set from, the allowance for short texts, and the
+#: documents a language needs.
+SPREAD = 4.0
+LEAST = {"chars_per_token": 0.025, "byte_share": 0.005, "entropy_share": 0.06}
+SHORT = {"chars_per_token": 3.0, "byte_share": 0.3, "entropy_share": 0.5}
 MIN_DOCS = 200
 #: Languages that get bands of their own at most; beyond it the call fails instead of broadcasting without bound.
 MAX_LANGS = 1_000
@@ -147,9 +149,9 @@ def collected_bands(measures: DataFrame) -> dict:
     return {"every": next(as_limits(r) for r in rows if r["all_docs"]), "own": {r["lang"]: as_limits(r) for r in rows if not r["all_docs"]}}
 
 
-def in_bands(limits: dict, lang, values: dict[str, float]) -> bool:
-    own = limits["own"].get(lang, limits["every"])
-    return all(own[c][0] <= values[c] <= own[c][1] for c in MEASURES)
+def in_bands(limits: dict, lang, values: dict[str, float], n_tokens: int) -> bool:
+    own, root = limits["own"].get(lang, limits["every"]), max(n_tokens, 1) ** 0.5
+    return all(own[c][0] - SHORT[c] / root <= values[c] <= own[c][1] + SHORT[c] / root for c in MEASURES)
 
 
 def judge(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -164,9 +166,10 @@ def judge(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def _within(limits: dict):
-    out = F.lit(True)
+    out, root = F.lit(True), F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
     for c, (lo, hi) in limits.items():
-        out = out & F.col(c).between(float(lo), float(hi))
+        more = F.lit(SHORT[c]) / root
+        out = out & F.col(c).between(F.lit(float(lo)) - more, F.lit(float(hi)) + more)
     return out
 
 
@@ -180,7 +183,7 @@ def quality_filter(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = measured(batch.column(text), path)
         langs = batch.column(lang).to_pylist()
-        keep = [not failed and in_bands(limits, langs[i], {c: found[c][i] for c in MEASURES}) for i, failed in enumerate(found["base_failed"])]
+        keep = [not failed and in_bands(limits, langs[i], {c: found[c][i] for c in MEASURES}, found["n_tokens"][i]) for i, failed in enumerate(found["base_failed"])]
         return batch.filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(docs, fn, docs.schema)
