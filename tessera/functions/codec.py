@@ -33,8 +33,9 @@ def encode_pointer(disk: Column, location: Column, file_no: Column) -> Column:
 
 
 def decode_pointer(raw: Column) -> Column:
+    disk = from_little_endian(raw, 0, DISK)  # a byte without sign
     return F.struct(
-        from_little_endian(raw, 0, DISK).cast("tinyint").alias("disk"), from_little_endian(raw, DISK, LOCATION).alias("location"), from_little_endian(raw, DISK + LOCATION, FILE_NO).cast("int").alias("file_no")
+        F.when(disk >= 128, disk - 256).otherwise(disk).cast("tinyint").alias("disk"), from_little_endian(raw, DISK, LOCATION).alias("location"), from_little_endian(raw, DISK + LOCATION, FILE_NO).cast("int").alias("file_no")
     )
 
 
@@ -78,7 +79,7 @@ def decode_inner(page: Column) -> Column:
     keyed = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(page, i * width + 5, F.lit(width)))
     last = F.substring(page, n * width + 5, F.lit(DISK + LOCATION + FILE_NO))
     rows = F.transform(keyed, lambda raw, i: F.struct(F.when(i < n, from_little_endian(raw, 0, 8)).alias("k"), decode_pointer(F.when(i < n, F.substring(raw, F.lit(KEY_BYTES + 1), F.lit(9))).otherwise(last)).alias("pointer")))
-    return F.when(element_count(page) < 0, rows)
+    return F.when((element_count(page) < 0) & ~is_end(page), rows)
 
 
 def encode_leaf(rows: Column) -> Column:
