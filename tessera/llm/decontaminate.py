@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import alnum_words, as_bytes, map_arrow
@@ -170,9 +170,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, start, end (code points of the original text), one row per maximal contaminated passage."""
-    shard_list = shards(benchmark)
-    out = None
-    for fingerprint, _, patterns in shard_list:
+    out, many = None, False
+    for fingerprint, _, patterns in shards(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def fn(batch: pa.RecordBatch, fingerprint=fingerprint, shared=shared) -> pa.RecordBatch:
@@ -180,12 +179,25 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 spans, _ = scan(alnum_words(text), built)
                 if spans:
-                    rows += [(doc_id, a, b) for a, b in original_spans(text.decode("utf-8", "replace"), spans)]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "start", "end"])
-
-        part = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, "doc_id long, start long, end long")
-        out = part if out is None else out.unionByName(part).distinct()
-    return out
+                    key = hashlib.sha256(text).hexdigest()
+                    places = original_spans(text.decode("utf-8", "replace"), spans)
+                    rows += [(doc_id, key, *words, *place) for words, place in zip(spans, places, strict=True)]
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _SPANS.split(", ")])
+
+        part = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, _SPANS)
+        out, many = (part, many) if out is None else (out.unionByName(part), True)
+    if not many:
+        return out.select("doc_id", "start", "end")
+    # passages of several automata that meet are one; equal rows are told once
+    before = Window.partitionBy("doc_id", "text_key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id", "text_key").orderBy("first", "last")
+    fresh = F.coalesce(F.col("first") > F.max("last").over(before), F.lit(True)).cast("int")
+    numbered = out.distinct().withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(upto))
+    return numbered.groupBy("doc_id", "text_key", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
+
+
+_SPANS = "doc_id long, text_key string, first long, last long, start long, end long"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -347,13 +347,13 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and set_key, doc_id, component_id of each class."""
+    """The sketches, and set_key, doc_id, root, component_id of each class."""
     sketches = materialize(sketched(docs), "sketches")
     classes = materialize(_classes(sketches), "classes")
     roots = components(links(docs, classes))
     names = classes.select("set_key", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return sketches, names.join(least, "root").select("set_key", "doc_id", "component_id")
+    return sketches, names.join(least, "root").select("set_key", "doc_id", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -368,7 +368,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, and all documents with empty sets; all columns of docs."""
     sketches, classes = _named(docs)
     # where the smallest doc_id stands for several sets, the smallest key decides
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("set_key").alias("__key")).withColumnRenamed("component_id", "__doc")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__doc"), F.col("set_key").alias("__key")))
+    chosen = classes.groupBy("root").agg(least.alias("x")).select("x.__doc", "x.__key")
     text = docs.columns.index("text")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
