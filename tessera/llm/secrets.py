@@ -108,19 +108,21 @@ def _scanned(text: Column, rule: Rule) -> Column:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows: every blob of `versions` (columns id, text) under every rule version that `ledger` lacks."""
     blobs = versions.select(blob_of(F.col("text")).alias("blob"), "id")
-    first = blobs.groupBy("blob").agg(F.min("id").alias("id"))
-    wanted = first.withColumn("missing", F.lit(None).cast("array<string>"))
+    first = blobs.groupBy("blob").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # told from an aggregate, so that the optimizer doesn't scan texts before it knows which are wanted
+    every = F.when(F.col("copies") > 0, F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules]))
+    wanted = first.withColumn("missing", every)
     if ledger is not None:
-        names = {f"{r.kind}:{r.version}": r for r in rules}
         done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
-        every = F.array(*[F.lit(n) for n in names])
-        wanted = first.join(done, "blob", "left").withColumn("missing", F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))).where(F.size("missing") > 0).drop("done")
+        missing = F.array_except("missing", F.coalesce("done", F.array().cast("array<string>")))
+        wanted = wanted.join(done, "blob", "left").withColumn("missing", missing).where(F.size("missing") > 0)
+    wanted = wanted.select(F.col("blob").alias("first_blob"), "first_id", "missing")
     # texts move once, by id, which is unique but for repeated rows; a blob's text is that of its smallest id
-    texts = versions.select(F.col("id"), "text", blob_of(F.col("text")).alias("blob"))
-    rows = texts.join(wanted.withColumnRenamed("blob", "first_blob"), "id").where(F.col("blob") == F.col("first_blob"))
+    texts = versions.select("id", "text", blob_of(F.col("text")).alias("blob"))
+    rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("blob") == F.col("first_blob")))
     text = F.coalesce("text", F.lit(""))
     found = [
-        F.when(F.col("missing").isNull() | F.array_contains("missing", F.lit(f"{r.kind}:{r.version}")), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _scanned(text, r).alias("spans")))
+        F.when(F.array_contains("missing", F.lit(f"{r.kind}:{r.version}")), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), _scanned(text, r).alias("spans")))
         for r in rules
     ]
     return rows.select("blob", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found"))
@@ -155,8 +157,10 @@ def digest(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     Only blobs with a finding are joined back; the rest have none by definition.
     """
     scanned = scan(versions, ledger, rules)
-    # equal texts under one smallest id (repeated rows) were scanned alike
-    found = scanned.where(F.exists("found", lambda x: F.size(x["spans"]) > 0)).groupBy("blob").agg(F.first("found").alias("found"))
+    # equal texts under one smallest id (repeated rows) were scanned alike; blobs without a finding are dropped after the
+    # aggregation, as a test before it would be pushed into the join and scan every text twice
+    hits = F.filter("found", lambda x: F.size(x["spans"]) > 0)
+    found = scanned.select("blob", hits.alias("found")).groupBy("blob").agg(F.first("found").alias("found")).where(F.size("found") > 0)
     if ledger is not None:
         live = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
         known = ledger.where((F.size("spans") > 0) & F.array_contains(live, F.concat_ws(":", "kind", "version"))).select("blob", F.struct("kind", "version", "spans").alias("x"))

@@ -434,7 +434,7 @@ SECRETS = [
 
 
 def test_secrets(spark, table, docs):
-    for source in (table(ODD + [(600 + i, t) for i, t in enumerate(SECRETS)] + [(700, SECRETS[0])]), docs):
+    for source in (table(ODD + [(600 + i, t) for i, t in enumerate(SECRETS)] + [(700, SECRETS[0]), (None, "token=only-here")]), docs):
         got = secrets.digest(source.select(F.col("doc_id").alias("id"), "text")).collect()
         want = sorted((-1 if i is None else i, hashlib.sha256(b.encode()).hexdigest(), len(b.split(",")) if b else 0) for i, t in texts(source) for b in [base_secrets(t)])
         assert sorted((-1 if r["id"] is None else r["id"], r["base_sha256"], r["n_assign"] + r["n_access"] + r["n_hex"]) for r in got) == want
