@@ -3,7 +3,7 @@
 Layout of a store (Parquet, written by Spark, so a lost executor or a retried task leaves no
 partial file behind):
 
-* ``chunks``   hash (16 bytes of BLAKE2b over the ids), ids (little-endian uint16): each different chunk once
+* ``staged``   key (16 bytes of BLAKE2b over the ids), ids (little-endian uint16): each different chunk once
 * ``recipes``  segment, doc_id, start, n_tokens, chunks (the hashes in order, 16 bytes each), leaf; ascending doc_id
 * ``manifest`` segment, n_docs, n_tokens, root: Merkle root over the leaves of the segment's documents
 
@@ -183,7 +183,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, ids binary").parquet(f"{path}/staged/is_chunk=true").select(F.col("key").alias("hash"), "ids")
+    return spark.read.schema("key binary, ids binary, is_chunk boolean").parquet(f"{path}/staged").where("is_chunk").select(F.col("key").alias("hash"), "ids")
 
 
 def _roots(spark: SparkSession, path: str) -> DataFrame:
