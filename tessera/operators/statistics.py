@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.geometry import levels, node_of, page_of, pages_for
 from ..sources.config import RECORD_OVERHEAD, StoreConfig
@@ -57,3 +58,12 @@ def lookup_counters(probed: DataFrame, rows: DataFrame) -> DataFrame:
     return told.agg(
         F.count(F.lit(1)).alias("searches"), F.count_if(F.col("maybe") & ~F.col("here")).alias("false_positives"), F.count_if(~F.col("maybe") & F.col("here")).alias("false_negatives")
     )
+
+
+def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """batch, rows, rows_per_second, and milliseconds of each part of the last micro-batches of a stream."""
+    rows = [
+        (p["batchId"], p["numInputRows"], float(p["processedRowsPerSecond"] or 0), {k: int(v) for k, v in p["durationMs"].items()})
+        for p in query.recentProgress
+    ]
+    return spark.createDataFrame(rows, "batch long, rows long, rows_per_second double, millis map<string,long>")

@@ -32,6 +32,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, config: StoreConfig = StoreConfig(), mode: str = "latest"):
         self.spark, self.path, self.config, self.mode = spark, path, config, mode
+        self._pinned: DataFrame | None = None
 
     # -- manifest
 
@@ -169,6 +170,17 @@ class Store:
             raise ValueError(f"epoch {epoch} was compacted away")
         return self._latest(self.log().where(F.col("epoch") <= epoch))
 
+    def pin(self) -> DataFrame:
+        """The newest-wins view, kept in executors' memory and disk until unpin; later versions don't change it."""
+        self.unpin()
+        self._pinned = self.latest().persist()
+        return self._pinned
+
+    def unpin(self) -> None:
+        if self._pinned is not None:
+            self._pinned.unpersist()
+            self._pinned = None
+
     def register(self, name: str) -> None:
         """The newest-wins view for SQL."""
         self.latest().createOrReplaceTempView(name)

@@ -91,6 +91,8 @@ def test_store_against_model(spark, mode):
     while store.compact(0):
         pass
     store.vacuum()
+    assert pairs(store.pin()) == model
+    store.unpin()
     assert pairs(store.latest()) == model and len(store.versions()) == 1
     with pytest.raises(ValueError):
         store.as_of(0)
@@ -217,7 +219,10 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     store = Store(spark, new_path(spark, "streamed"), StoreConfig(fanout=2))
     for _ in range(2):  # a second start finds nothing new
-        ingest.start(stream, store, str(tmp_path / "cp")).awaitTermination()
+        query = ingest.start(stream, store, str(tmp_path / "cp"))
+        query.awaitTermination()
+    told = statistics.progress(spark, query)
+    assert told.columns == ["batch", "rows", "rows_per_second", "millis"]
     assert store.latest().count() == 37
     assert {r["epoch"] for r in store.log().select("epoch").distinct().collect()} <= set(range(5))
     q = ingest.running_latest(stream).writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
