@@ -24,6 +24,9 @@ ALNUM = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 
+#: Rows that a worker has as Python objects at once.
+ROWS = 2_000
+
 #: White space of the word definition [^\x20\x09-\x0D]+.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -42,12 +45,15 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """One output batch per input batch; empty batches are passed through fn as well."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, end: Callable[[], None] | None = None) -> DataFrame:
+    """One output batch per input batch, or per ROWS rows of a larger one; `end` is called after a task's last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield fn(batch)
+            for at in range(0, max(1, batch.num_rows), ROWS):
+                yield fn(batch.slice(at, ROWS))
+        if end:
+            end()
 
     return df.mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import as_bytes, map_arrow, materialize
+from .common import ROWS, as_bytes, map_arrow, materialize
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -176,7 +176,7 @@ def _compared(dealt: DataFrame, load: Callable, compare: Callable, out: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first = None, None
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             pairs = []
             heads = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
             values = zip(*(batch.column(k).to_pylist() for k in range(3, batch.num_columns)), strict=True)

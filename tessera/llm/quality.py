@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, map_arrow, materialize, plain_words
-from .tokens import PieceBpe, loaded, public_path
+from .tokens import PieceBpe, loaded, public_path, release
 
 SYMBOLS = b"#*$%&|<>"
 #: A text needs this many words, and at most this percentage of them in repeated 3-word windows.
@@ -118,7 +118,7 @@ def measure(docs: DataFrame, vocabulary: str | None = None, keys: tuple[str, ...
         )
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_arrow(kept, fn, f"{ddl}, {BASE}, {FEATURES}")
+    return map_arrow(kept, fn, f"{ddl}, {BASE}, {FEATURES}", release)
 
 
 TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -186,4 +186,4 @@ def quality_filter(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         keep = [not failed and in_bands(limits, langs[i], {c: found[c][i] for c in MEASURES}, found["n_tokens"][i]) for i, failed in enumerate(found["base_failed"])]
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, fn, docs.schema)
+    return map_arrow(docs, fn, docs.schema, release)
