@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, new_path, remove
+from .common import ROWS, as_bytes, new_path, remove
 from .tokens import LowerBpe, loaded, public_path
 
 END_ID = 2
@@ -98,7 +98,7 @@ _ROWS = "is_chunk boolean, key binary, ids binary, doc_id long, n_tokens long, c
 def _encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(LowerBpe, path)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             seen: dict[bytes, bytes] = {}
             recipes = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):

@@ -8,11 +8,13 @@ bounded table that lives as long as the Python worker.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
-#: Entries after which a worker forgets its words: about 100 MB.
-CACHE_WORDS = 400_000
+#: Entries after which a worker forgets its words: about 120 MB. An executor's workers share its memory with the JVM.
+CACHE_WORDS = 600_000
 
 
 class Words(dict):
@@ -34,7 +36,14 @@ class Words(dict):
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u2").tobytes()
+    return array("H", ids).tobytes()
+
+
+#: Letters whose NFC form is themselves, without the one that lower-cases to two characters.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+#: ASCII marks that begin no pre-token together with letters, as an apostrophe may.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class LowerBpe:
@@ -46,34 +55,26 @@ class LowerBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pieces: dict[bytes, bytes] = {}
         self.words = Words(self._word)
+        # the byte-level alphabet shows bytes that are no visible character as code points from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = dict(zip(sorted(set(range(256)) - set(plain)), range(256, 512)))  # noqa: B905
 
-    def _letters(self, piece: bytes) -> bytes:
-        """A run of a-z needs no normalising and is one pre-token: the model alone gives its ids."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > CACHE_WORDS:
-                self.pieces.clear()
-            ids = self.pieces[piece] = packed([t.id for t in self.model.tokenize(piece.decode())])
-        return ids
+    def _letters(self, piece: str) -> bytes:
+        """A run of Latin letters is one pre-token, and no normaliser but lower-casing changes it: the model alone gives its ids."""
+        raw = piece.lower().encode().decode("latin-1").translate(self.shown)
+        return packed([t.id for t in self.model.tokenize(raw)])
 
     def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters only
-            return self._letters(word)
-        head = word[:-1]
-        if word[-1:] in b".,;:!?" and head.decode("utf-8", "replace")[-1:].isalpha():
-            # a letter run and a lone mark are two pre-tokens
-            return (self._letters(head) if head.isalpha() else self._plain(head)) + self._plain(word[-1:])
-        return self._plain(word)
-
-    def _plain(self, word: bytes) -> bytes:
-        ids = self.pieces.get(word)
-        if ids is None:
-            ids = packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-            if len(word) <= 2:
-                self.pieces[word] = ids
-        return ids
+        text = word.decode("utf-8", "replace")
+        if LATIN.fullmatch(text):
+            return self._letters(text)
+        if (head := len(text.rstrip(MARKS))) and LATIN.fullmatch(text, 0, head):
+            # a letter run and the marks after it are two pre-tokens
+            marks = len(text) - head
+            if marks:
+                return self.words[word[:-marks]] + self.words[word[-marks:]]
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """All ids of a whole text. ASCII lower-casing first is safe, as the file's normaliser lower-cases anyway,
@@ -105,13 +106,20 @@ _LOADED: dict[tuple, object] = {}
 
 
 def loaded(kind: type, path: str):
-    """One encoder per Python worker and file."""
+    """The encoder of a Python worker, which is used again by its next tasks; one at a time."""
     key = (kind, path)
     if key not in _LOADED:
+        _LOADED.clear()
         _LOADED[key] = kind(path)
     return _LOADED[key]
 
 
+def release() -> None:
+    """Give the words of a worker's encoder back, so that later stages in the same worker have the memory."""
+    for encoder in _LOADED.values():
+        encoder.words.clear()
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
