@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
-    return near_dup.drop_near_duplicates(docs)
+    """Of each group of near-duplicates, by op6's rule or by 5-word shingles at 80 per cent, the document with the smallest doc_id stays."""
+    return near_dup.drop_near_duplicates(docs, near_dup.STAGE)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

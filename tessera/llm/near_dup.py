@@ -1,16 +1,20 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document's set holds its 3-word shingles (hashed to 64 bits). Its sketch has M registers: the
+A document's set holds its 3-word shingles (hashed to 64 bits); the functions take rules, of which
+CONTRACT has that of op6 alone and STAGE one on 5-word shingles too. With several rules a document
+has a set and a sketch for each, and is linked to another where any rule links them: two rules keep
+no pair apart that one of them finds. A sketch has M registers: the
 least of M hash values over the set, read as a minimum of exponential variables with rate RATE
 and kept as a truncated exponent to base BASE. Registers of a union are the larger of the two,
 so sketches merge; equal registers are about as likely as the Jaccard similarity of the sets.
 
-1. Documents with equal sets are one class; only one of each class goes on.
-2. Bands of ROWS registers are hashed to keys; classes that share a key are candidates. A pair at
-   85 per cent shares no key with a probability of (1 - 0.85 ** ROWS) ** BANDS = 2e-7.
+1. Documents with equal sets (by every rule) are one class; only one of each class goes on.
+2. Bands of a rule's registers are hashed to keys; classes that share a key are candidates. A pair at
+   85 per cent shares no key with a probability of (1 - 0.85 ** ROWS) ** BANDS = 2e-7, one at 80 per
+   cent by STAGE's second rule with (1 - 0.8 ** 5) ** 38 = 3e-7.
 3. In each group of a key, every class is compared with the leader, the class that shares most keys
    with others: by the joint maximum-likelihood estimate from both sketches and set sizes, and
-   then, from PRUNE on, on full sets. Links found so give components, which hold nearly all.
+   then, from a rule's prune on, on full sets. Links found so give components, which hold nearly all.
 4. Where a leader's group still has members of different components, its members' differences
    from the leader (shingles that only one of the two sets has) are listed. Two members' symmetric
    difference is |A| + |B| - 2 |A & B| of these lists, so their similarity is exact. Members with
@@ -30,11 +34,12 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -47,6 +52,21 @@ M = ROWS * BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Pairs estimated under this are not tested in step 3: over 5 standard errors (0.026 at 0.85) below a link.
 PRUNE = 0.7
+
+
+class Rule(NamedTuple):
+    """Words of a shingle, least similarity in per cent, and how candidates are found for it."""
+
+    shingle: int
+    percent: int
+    rows: int
+    bands: int
+    prune: float
+
+
+CONTRACT = (Rule(SHINGLE, PERCENT, ROWS, BANDS, PRUNE),)
+#: The pipeline's: copies that differ by one passage count from 80 per cent on. 0.65 is 5 standard errors (0.029) below.
+STAGE = (*CONTRACT, Rule(5, 80, 5, 38, 0.65))
 #: Members without a link to their leader that are held at once in step 4.
 BLOCK = 4096
 #: Members of a group that are compared in one piece.
@@ -55,7 +75,7 @@ PIECE = 256
 _RANDOM = np.random.Generator(np.random.PCG64(6))
 _FACTORS = _RANDOM.integers(0, 1 << 31, size=M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, size=M, dtype=np.uint32)
-_MIX = [np.uint64(int(k) * 2 + 1) for k in _RANDOM.integers(0, 1 << 63, size=SHINGLE, dtype=np.uint64)]
+_MIX = [np.uint64(int(k) * 2 + 1) for k in _RANDOM.integers(0, 1 << 63, size=max(r.shingle for r in STAGE), dtype=np.uint64)]
 
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -69,19 +89,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the 3-word shingles; of the whole sequence, if it has fewer words; empty without words."""
+def shingle_sets(text: bytes | None, rules: tuple[Rule, ...] = CONTRACT) -> list[np.ndarray]:
+    """For each rule, sorted distinct hashes of the shingles; of the whole sequence, if it has fewer words; empty without words."""
     words = text.translate(UPPER).split() if text else []
     if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
+        return [np.empty(0, np.uint64)] * len(rules)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
-    total = h[:n] * _MIX[0]
-    for k in range(1, SHINGLE):
-        total += h[k : n + k] * _MIX[k]
-    return np.unique(_mixed(total))
+    out = []
+    for rule in rules:
+        n = len(words) - rule.shingle + 1
+        if n < 1:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64))
+            continue
+        total = h[:n] * _MIX[0]
+        for k in range(1, rule.shingle):
+            total += h[k : n + k] * _MIX[k]
+        out.append(np.unique(_mixed(total)))
+    return out
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -101,10 +125,12 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(registers: np.ndarray) -> list[int]:
-    raw = registers.tobytes()
-    width = 2 * ROWS
-    keys = (xxhash.xxh3_64_intdigest(raw[k * width : (k + 1) * width], seed=k) for k in range(BANDS))
+def band_keys(raw: bytes, rules: tuple[Rule, ...] = CONTRACT) -> list[int]:
+    """Of the rules' sketches, one after the other."""
+    keys = []
+    for at, rule in enumerate(rules):
+        width, begin = 2 * rule.rows, 2 * M * at
+        keys += [xxhash.xxh3_64_intdigest(raw[begin + k * width : begin + (k + 1) * width], seed=M * at + k) for k in range(rule.bands)]
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
@@ -132,30 +158,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def key_of(hashes: np.ndarray) -> bytes | None:
-    """Names a set; null for the empty one."""
-    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+def key_of(sets: list[np.ndarray]) -> bytes | None:
+    """Names a document's sets; null for empty ones."""
+    return xxhash.xxh3_128_digest(b"".join(s.tobytes() for s in sets)) if len(sets[0]) else None
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_key (16 bytes over the set, null if empty), sketch."""
+def sketched(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """doc_id, n (a size for each rule), set_key (16 bytes over the sets, null if empty), sketch (the rules' one after the other)."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, keys, registers = [], [], []
         for text in as_bytes(batch.column(1)):
-            hashes = shingles(text)
-            n.append(len(hashes))
-            keys.append(key_of(hashes))
-            registers.append(sketch(hashes).tobytes() if len(hashes) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "n", "set_key", "sketch"])
+            sets = shingle_sets(text, rules)
+            n.append([len(s) for s in sets])
+            keys.append(key_of(sets))
+            registers.append(b"".join(sketch(s).tobytes() for s in sets) if n[-1][0] else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.list_(pa.int64())), pa.array(keys, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "n", "set_key", "sketch"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, "doc_id long, n long, set_key binary, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, "doc_id long, n array<long>, set_key binary, sketch binary")
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [k for r in batch.column(1).to_pylist() for k in band_keys(np.frombuffer(r, np.uint16))]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys, pa.int64())], names=["node", "key"])
+        keys = [k for r in batch.column(1).to_pylist() for k in band_keys(r, rules)]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sum(r.bands for r in rules))), pa.array(keys, pa.int64())], names=["node", "key"])
 
     return map_arrow(classes.select("node", "sketch"), fn, "node long, key long")
 
@@ -168,7 +194,7 @@ def _dealt(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     return members.unionByName(leaders).join(rows.select("node", *columns), "node").repartition("leader", "piece").sortWithinPartitions("leader", "piece", F.col("node") != F.col("leader"))
 
 
-_KINDS = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+_KINDS = {"long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 
 def _compared(dealt: DataFrame, load: Callable, compare: Callable, out: str) -> DataFrame:
@@ -196,49 +222,50 @@ def _compared(dealt: DataFrame, load: Callable, compare: Callable, out: str) ->
     return dealt.select("leader", "piece", "node", *dealt.columns[3:]).mapInArrow(run, out)
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """leader, node of the pairs whose estimate is PRUNE or more."""
+def _estimated(pairs: DataFrame, classes: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """leader, node of the pairs that any rule estimates at its prune or more."""
 
     def compare(pairs: list) -> list:
-        one, two = (np.stack([p[k][1] for p in pairs]) for k in (2, 3))
-        sizes = [np.array([p[k][0] for p in pairs], np.float64) for k in (2, 3)]
-        found = estimate((one > two).sum(axis=1), (one < two).sum(axis=1), *sizes)
-        return [p[:2] for p, j in zip(pairs, found, strict=True) if j >= PRUNE]
+        likely = np.zeros(len(pairs), bool)
+        for at, rule in enumerate(rules):
+            one, two = (np.stack([p[k][1][M * at : M * (at + 1)] for p in pairs]) for k in (2, 3))
+            sizes = [np.array([p[k][0][at] for p in pairs], np.float64) for k in (2, 3)]
+            likely |= estimate((one > two).sum(axis=1), (one < two).sum(axis=1), *sizes) >= rule.prune
+        return [p[:2] for p, j in zip(pairs, likely.tolist(), strict=True) if j]
 
     return _compared(_dealt(pairs, classes, ["n", "sketch"]), lambda n, raw: (n, np.frombuffer(raw, np.uint16)), compare, "leader long, node long")
 
 
-_TESTED = "leader long, node long, n_leader long, n long, both long, differences array<long>"
+_TESTED = "leader long, node long, linked boolean, n array<long>, apart array<long>, differences array<long>"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, with_differences: bool) -> DataFrame:
-    """leader, node, sizes of both sets and of their intersection, and (if asked for) the shingles that only one of them has."""
+def _verified(pairs: DataFrame, texts: DataFrame, with_differences: bool, rules: tuple[Rule, ...]) -> DataFrame:
+    """leader, node, whether any rule links them, and (if asked for) for each rule the node's set's size, the number of
+    shingles that only one of the two sets has, and these, the rules' one after the other."""
 
     def compare(pairs: list) -> list:
         out = []
-        for leader, node, one, two in pairs:
-            both, _ = similarity(one, two)
-            out.append((leader, node, len(one), len(two), both, np.setxor1d(one, two, assume_unique=True).view(np.int64) if with_differences else []))
+        for leader, node, ones, twos in pairs:
+            found = [similarity(one, two) for one, two in zip(ones, twos, strict=True)]
+            linked = any(100 * both >= rule.percent * union for rule, (both, union) in zip(rules, found, strict=True))
+            only = [np.setxor1d(one, two, assume_unique=True).view(np.int64) for one, two in zip(ones, twos, strict=True)] if with_differences else []
+            out.append((leader, node, linked, [len(two) for two in twos], [len(x) for x in only], np.concatenate(only) if only else []))
         return out
 
-    def load(text: str, set_key: bytes) -> np.ndarray | None:
+    def load(text: str, set_key: bytes) -> list[np.ndarray] | None:
         """None for a text that shares its doc_id with the class's, but isn't it."""
-        hashes = shingles(text.encode() if text is not None else None)
-        return hashes if key_of(hashes) == set_key else None
+        sets = shingle_sets(text.encode() if text is not None else None, rules)
+        return sets if key_of(sets) == set_key else None
 
     return _compared(_dealt(pairs, texts, ["text", "set_key"]), load, compare, _TESTED)
 
 
-def _linked() -> Column:
-    return F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("n") + F.col("n_leader") - F.col("both"))
-
+_IN_BLOCKS = "leader", "block", "streams", "node", "root", "n", "apart", "differences"
 
-_IN_BLOCKS = "leader", "block", "streams", "node", "root", "n", "differences"
 
-
-def _joining(tested: DataFrame, roots: DataFrame) -> DataFrame:
+def _joining(tested: DataFrame, roots: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """a, b: links within leaders' groups that join different components."""
-    placed = tested.dropDuplicates(["leader", "node"]).withColumn("linked", _linked()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = tested.dropDuplicates(["leader", "node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     blocks = placed.where(~F.col("linked")).groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(blocks, "leader")
     held = rows.where(~F.col("linked")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("streams", F.lit(False))
@@ -249,12 +276,12 @@ def _joining(tested: DataFrame, roots: DataFrame) -> DataFrame:
         at, block = None, None
         for batch in batches:
             found = []
-            differences = batch.column(6)
+            differences = batch.column(7)
             values, offsets = differences.values.to_numpy(), differences.offsets.to_numpy()
-            for k, (leader, number, streaming, node, root, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+            for k, (leader, number, streaming, node, root, n, apart) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
                 if (leader, number) != at:
-                    at, block = (leader, number), Block()
-                own = values[offsets[k] : offsets[k + 1]]
+                    at, block = (leader, number), Block(rules)
+                own = np.split(values[offsets[k] : offsets[k + 1]], np.cumsum(apart)[:-1])
                 if streaming:
                     found += block.links(node, root, n, own)
                 else:
@@ -267,17 +294,19 @@ def _joining(tested: DataFrame, roots: DataFrame) -> DataFrame:
 class Block:
     """Members of a group, indexed by their differences from its leader."""
 
-    def __init__(self) -> None:
+    def __init__(self, rules: tuple[Rule, ...]) -> None:
+        self.rules = rules
         self.rows: list[tuple[int, int]] = []
-        self.sizes: list[tuple[int, int]] = []
-        self.parts: list[np.ndarray] = []
-        self.index: tuple | None = None
+        self.sizes: list[list[tuple[int, int]]] = [[] for _ in rules]
+        self.parts: list[list[np.ndarray]] = [[] for _ in rules]
+        self.index: list[tuple] | None = None
         self.parent: dict[int, int] = {}
 
-    def add(self, node: int, root: int, n: int, differences: np.ndarray) -> None:
+    def add(self, node: int, root: int, n: list[int], differences: list[np.ndarray]) -> None:
         self.rows.append((node, root))
-        self.sizes.append((n, len(differences)))
-        self.parts.append(differences.copy())
+        for at, own in enumerate(differences):
+            self.sizes[at].append((n[at], len(own)))
+            self.parts[at].append(own.copy())
 
     def _find(self, x: int) -> int:
         while (up := self.parent.setdefault(x, x)) != x:
@@ -285,25 +314,31 @@ class Block:
             x = up
         return x
 
-    def links(self, node: int, root: int, n: int, differences: np.ndarray) -> list[tuple[int, int]]:
+    def _indexed(self, at: int) -> tuple:
+        parts = self.parts[at]
+        values = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order], np.array(self.sizes[at], np.int64).reshape(-1, 2)
+
+    def links(self, node: int, root: int, n: list[int], differences: list[np.ndarray]) -> list[tuple[int, int]]:
         """Links to held members whose component is another one so far."""
         if self.index is None:
-            values = np.concatenate(self.parts) if self.parts else np.empty(0, np.int64)
-            owner = np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])
-            order = np.argsort(values, kind="stable")
-            self.index = (values[order], owner[order], np.array(self.sizes, np.int64).reshape(-1, 2))
+            self.index = [self._indexed(at) for at in range(len(self.rules))]
             self.parts = []
-        values, owner, sizes = self.index
-        low, high = np.searchsorted(values, differences, "left"), np.searchsorted(values, differences, "right")
-        hit = high > low
-        if not hit.any():
-            return []
-        shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]), minlength=len(sizes))
-        apart = sizes[:, 1] + len(differences) - 2 * shared
-        # 100 |x & y| >= PERCENT |x | y|, with both doubled
-        total = sizes[:, 0] + n
+        linked = np.zeros(len(self.rows), bool)
+        for rule, (values, owner, sizes), size, own in zip(self.rules, self.index, n, differences, strict=True):
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            hit = high > low
+            if not hit.any():
+                continue
+            shared = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low[hit].tolist(), high[hit].tolist(), strict=True)]), minlength=len(sizes))
+            apart = sizes[:, 1] + len(own) - 2 * shared
+            # 100 |x & y| >= percent |x | y|, with both doubled
+            total = sizes[:, 0] + size
+            linked |= (shared > 0) & (100 * (total - apart) >= rule.percent * (total + apart))
         out = []
-        for k in np.flatnonzero((shared > 0) & (100 * (total - apart) >= PERCENT * (total + apart))).tolist():
+        for k in np.flatnonzero(linked).tolist():
             other, its = self.rows[k]
             one, two = self._find(root), self._find(its)
             if one != two:
@@ -314,29 +349,29 @@ class Block:
 
 def _classes(sketches: DataFrame) -> DataFrame:
     """set_key, doc_id (smallest), n, sketch, node (a number)."""
-    one = sketches.where(F.col("n") > 0).groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n", "sketch")).alias("x"))
+    one = sketches.where(F.col("n")[0] > 0).groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "n", "sketch")).alias("x"))
     return one.select("set_key", "x.doc_id", "x.n", "x.sketch").withColumn("node", F.monotonically_increasing_id())
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, rules: tuple[Rule, ...] = CONTRACT) -> DataFrame:
     """a, b: verified links between classes that connect all that are linked."""
-    keys = materialize(_keys(classes), "keys")
+    keys = materialize(_keys(classes, rules), "keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     grouped = materialize(keys.join(sizes, "key"), "groups")
     crowds = grouped.groupBy("node").agg(F.sum("size").alias("crowd"))
     leaders = grouped.join(crowds, "node").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("node")).alias("back"))).alias("x")).select("key", (-F.col("x.back")).alias("leader"))
     pairs = materialize(grouped.join(leaders, "key").where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "pairs")
 
-    likely = materialize(_estimated(pairs, classes), "likely")
-    tested = _verified(likely, _texts(docs, classes, likely), False).where(_linked())
+    likely = materialize(_estimated(pairs, classes, rules), "likely")
+    tested = _verified(likely, _texts(docs, classes, likely), False, rules).where("linked")
     near = materialize(tested.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near")
     roots = components(near)
 
     placed = pairs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("leader")
     rest = materialize(pairs.join(mixed, "leader"), "mixed")
-    listed = _verified(rest, _texts(docs, classes, rest), True)
-    return near.unionByName(materialize(_joining(listed, roots), "joining"))
+    listed = _verified(rest, _texts(docs, classes, rest), True, rules)
+    return near.unionByName(materialize(_joining(listed, roots, rules), "joining"))
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -346,40 +381,40 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(names, F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text", "set_key")
 
 
-def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _named(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
     """The sketches, and set_key, doc_id, root, component_id of each class."""
-    sketches = materialize(sketched(docs), "sketches")
+    sketches = materialize(sketched(docs, rules), "sketches")
     classes = materialize(_classes(sketches), "classes")
-    roots = components(links(docs, classes))
+    roots = components(links(docs, classes, rules))
     names = classes.select("set_key", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return sketches, names.join(least, "root").select("set_key", "doc_id", "root", "component_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document row."""
-    sketches, classes = _named(docs)
-    joined = sketches.select("doc_id", "n", "set_key").join(classes.select("set_key", "component_id"), "set_key", "left")
+def near_duplicates(docs: DataFrame, rules: tuple[Rule, ...] = CONTRACT) -> DataFrame:
+    """doc_id, n_shingles (by the first rule), component_id, kept: one row per document row."""
+    sketches, classes = _named(docs, rules)
+    joined = sketches.select("doc_id", F.col("n")[0].alias("n"), "set_key").join(classes.select("set_key", "component_id"), "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, rules: tuple[Rule, ...] = CONTRACT) -> DataFrame:
     """One document of each component, that with the smallest doc_id, and all documents with empty sets; all columns of docs."""
-    sketches, classes = _named(docs)
+    sketches, classes = _named(docs, rules)
     # where the smallest doc_id stands for several sets, the smallest key decides
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__doc"), F.col("set_key").alias("__key")))
     chosen = classes.groupBy("root").agg(least.alias("x")).select("x.__doc", "x.__key")
     text = docs.columns.index("text")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [key_of(shingles(t)) for t in as_bytes(batch.column(text))]
+        keys = [key_of(shingle_sets(t, rules)) for t in as_bytes(batch.column(text))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "__set"])
 
     keyed = map_arrow(docs, fn, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
     kept = keyed.join(chosen, (F.col("__set") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
     kept = kept.where(F.col("__set").isNull() | F.col("__key").isNotNull())
-    if not sketches.where(F.col("n") > 0).groupBy("doc_id", "set_key").count().where(F.col("count") > 1).isEmpty():
+    if not sketches.where(F.col("n")[0] > 0).groupBy("doc_id", "set_key").count().where(F.col("count") > 1).isEmpty():
         alone = kept.where(F.col("__set").isNotNull()).dropDuplicates(["__set"])  # equal rows: one of them
         kept = alone.unionByName(kept.where(F.col("__set").isNull()))
     return kept.select(*docs.columns)

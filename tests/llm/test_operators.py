@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import components, decontaminate, licenses, mixing, near_dup, pii, quality, secrets, substring_dedup, token_store, url_filter
 from tessera.llm.common import new_path
 from tessera.llm.tokens import LowerBpe, PieceBpe, public_path
@@ -321,6 +322,42 @@ def test_near_dup(table, docs):
     assert sorted(r["doc_id"] for r in near_dup.drop_near_duplicates(docs).collect()) == sorted(w[0] for w in want if w[3])
 
 
+def test_near_dup_of_the_stage(spark, table):
+    """Copies with one passage more, by either rule, and by a chain of both; op6 keeps its own rule."""
+    a, b, c = words(23, 500, 5000), words(24, 300, 5000), words(26, 500, 5000)
+    tail = words(25, 140, 5000)
+    made = [(600, " ".join(a)), (601, " ".join(a + tail[:105])), (602, " ".join(a + tail))]  # 602 is linked to 601 only
+    made += [(610, " ".join(b)), (611, " ".join("odd" if k % 40 == 0 else w for k, w in enumerate(b)))]  # by 3-word shingles alone
+    made += [(620, " ".join(c)), (621, " ".join(words(27, 150, 5000) + c))]  # 0.77: none
+    source = table(ODD + made)
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, source, "").collect()}
+    assert left & set(range(600, 700)) == {600, 610, 620, 621}
+    assert {r["doc_id"] for r in near_dup.drop_near_duplicates(source).collect()} & set(range(600, 700)) == {600, 601, 610, 620, 621}
+
+
+def test_block_links_by_any_rule():
+    base = words(28, 300, 5000)
+    members = [near_dup.shingle_sets(t.encode(), near_dup.STAGE) for t in [*(edited(base, 70 + k, 10) for k in range(4)), *(" ".join(base + words(29, n, 5000)) for n in (90, 100, 160))]]
+    leader = near_dup.shingle_sets(" ".join(base).encode(), near_dup.STAGE)
+    block = near_dup.Block(near_dup.STAGE)
+    row = lambda k: (k, k, [len(s) for s in members[k]], [np.setxor1d(x, y).view(np.int64) for x, y in zip(members[k], leader, strict=True)])
+    linked = lambda x, y: any(100 * len(np.intersect1d(a, b)) >= r.percent * len(np.union1d(a, b)) for r, a, b in zip(near_dup.STAGE, x, y, strict=True))
+    held = [k for k in range(len(members)) if not linked(members[k], leader)]
+    for k in held:
+        block.add(*row(k))
+    found = [pair for k in range(len(members)) for pair in block.links(*row(k))]
+    want = components_of([(x, y) for x in range(len(members)) for y in held if x != y and linked(members[x], members[y])])
+    assert held and found and components_of(found) == want
+
+
+def components_of(pairs):
+    parts = []
+    for pair in pairs:
+        joined = set(pair).union(*(p for p in parts if p & set(pair)))
+        parts = [p for p in parts if not p & joined] + [joined]
+    return sorted(map(sorted, parts))
+
+
 def test_repeated_rows_leave_one(table):
     t = " ".join(words(31, 60))
     kept = near_dup.drop_near_duplicates(table([(1, t), (1, t), (2, t), (3, None), (3, None), (1, "another text")]))
