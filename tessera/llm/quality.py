@@ -4,7 +4,10 @@ Each whole text is measured under a public vocabulary: characters per token, the
 tokens that fall back to bytes, and the entropy of its tokens as a share of the most that
 its number of tokens allows. Rejection bands are set per language: median -/+ SPREAD times
 the distance from the median to the quartile beyond it, over every measured document of the
-language, and wider by SHORT / sqrt(tokens), as short texts vary more; languages with fewer than MIN_DOCS documents share the bands of all documents.
+language, and wider by SHORT / sqrt(tokens), as short texts vary more. With n < MIN_DOCS documents of a language, its limits count by
+n / MIN_DOCS, and those of the document's script (that of most of its letters) for the rest. A script's distances are
+wider by sqrt(MIN_DOCS / n) where it has n < MIN_DOCS documents itself. So no document is held against bands that other
+scripts set, and limits move by little from one document to the next. Bands are joined as tables, for any number of languages.
 
 Null or empty text: no words, all measures 0, base_failed. Null language: a language of its
 own. Repeated rows are judged row by row. Extra columns are ignored by ``measure`` and kept
@@ -13,11 +16,16 @@ by ``quality_filter``. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import as_bytes, map_arrow, materialize, plain_words
 from .tokens import PieceBpe, loaded, public_path, release
@@ -26,17 +34,21 @@ SYMBOLS = b"#*$%&|<>"
 #: A text needs this many words, and at most this percentage of them in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Width of a band in quartile distances, the least distance it is set from, the allowance for short texts, and the
-#: documents a language needs.
+#: documents that a language needs to be judged by its own limits alone, and a script by limits that are not widened.
 SPREAD = 4.0
 LEAST = {"chars_per_token": 0.025, "byte_share": 0.005, "entropy_share": 0.06}
 SHORT = {"chars_per_token": 3.0, "byte_share": 0.3, "entropy_share": 0.5}
 MIN_DOCS = 200
-#: Languages that get bands of their own at most; beyond it the call fails instead of broadcasting without bound.
-MAX_LANGS = 1_000
+ASCII = bytes(range(128))
+LETTERS = bytes(b for b in ASCII if chr(b).isalpha())
+#: First words of letters' names that are no scripts, that need a second word, and that stand for one script.
+NO_SCRIPT = {"MODIFIER", "FEMININE", "MASCULINE", "MICRO", "FULLWIDTH", "HALFWIDTH", "MATHEMATICAL", "DOUBLE-STRUCK", "SCRIPT", "BLACK-LETTER"}
+TWO_WORDS = {"OLD", "LINEAR", "NEW", "TAI"}
+KANA = {"HIRAGANA", "KATAKANA"}
 
 MEASURES = list(LEAST)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
-FEATURES = "n_tokens long, chars_per_token double, byte_share double, entropy_share double"
+FEATURES = "n_tokens long, chars_per_token double, byte_share double, entropy_share double, script string"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -75,6 +87,29 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
 
 
+@cache
+def script_of(char: str) -> str:
+    """Script of a letter, by its Unicode name; empty for other characters."""
+    name = unicodedata.name(char, "").split() if char.isalpha() else []
+    if not name or name[0] in NO_SCRIPT:
+        return ""
+    return "KANA" if name[0] in KANA else " ".join(name[:2]) if name[0] in TWO_WORDS else name[0]
+
+
+def script(text: bytes | None) -> str:
+    """The script that most letters of a text have; empty without letters."""
+    if not text:
+        return ""
+    latin, other = len(text) - len(text.translate(None, LETTERS)), text.translate(None, ASCII)
+    if latin and len(other) // 2 <= latin:  # a letter beyond ASCII has two bytes or more
+        return "LATIN"
+    counts = Counter({"LATIN": latin})
+    for char, n in Counter(other.decode("utf-8", "replace")).items():
+        counts[script_of(char)] += n
+    del counts[""]
+    return max(counts, key=lambda s: (counts[s], s)) if any(counts.values()) else ""
+
+
 def fertility(words: list[bytes], word_chars: int, encoder: PieceBpe) -> tuple[int, float, float, float]:
     ids = encoder.encode(words)
     n = len(ids)
@@ -94,12 +129,12 @@ def measured(texts: pa.Array, path: str) -> dict[str, list]:
     for text, length in zip(as_bytes(texts), pc.utf8_length(texts).to_pylist(), strict=True):
         words = plain_words(text)
         if not words:
-            rows.append((0, 0, len(text) - len(text.translate(None, SYMBOLS)) if text else 0, 0, 0, True, 0, 0.0, 0.0, 0.0))
+            rows.append((0, 0, len(text) - len(text.translate(None, SYMBOLS)) if text else 0, 0, 0, True, 0, 0.0, 0.0, 0.0, ""))
             continue
         chars = length - (len(text) - sum(map(len, words)))
         repeat = repeated_words(words)
         rows.append(
-            (len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeat, base_failed(len(words), repeat), *fertility(words, chars, encoder))
+            (len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeat, base_failed(len(words), repeat), *fertility(words, chars, encoder), script(text))
         )
     names = [c.split()[0] for c in f"{BASE}, {FEATURES}".split(", ")]
     return dict(zip(names, map(list, zip(*rows, strict=True)) if rows else [[] for _ in names], strict=True))
@@ -121,69 +156,62 @@ def measure(docs: DataFrame, vocabulary: str | None = None, keys: tuple[str, ...
     return map_arrow(kept, fn, f"{ddl}, {BASE}, {FEATURES}", release)
 
 
-TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
 
 
-def bands(measures: DataFrame) -> DataFrame:
-    """One row per language with MIN_DOCS documents that pass the base rules, and one (all_docs) for the rest."""
+def bands(measures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """__lang, __weight, __own (lo and hi of every measure): a row per language; __script, __others: a row per script."""
     fit = measures.where(~F.col("base_failed"))
 
-    def limits(grouped) -> DataFrame:
-        out = grouped.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in MEASURES])
+    def limits(key: str, widened: bool) -> DataFrame:
+        out = fit.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in MEASURES])
+        spread = F.lit(SPREAD) * (F.sqrt(F.greatest(F.lit(1.0), F.lit(float(MIN_DOCS)) / F.col("n"))) if widened else F.lit(1.0))
         for c, least in LEAST.items():
             low, mid, high = (F.col(c)[i] for i in range(3))
-            out = out.withColumn(c, F.struct((mid - SPREAD * F.greatest(mid - low, F.lit(least))).alias("lo"), (mid + SPREAD * F.greatest(high - mid, F.lit(least))).alias("hi")))
-        return out
+            out = out.withColumn(c, F.struct((mid - spread * F.greatest(mid - low, F.lit(least))).alias("lo"), (mid + spread * F.greatest(high - mid, F.lit(least))).alias("hi")))
+        return out.withColumn("limits", F.struct(*MEASURES))
 
-    own = limits(fit.groupBy("lang")).where(F.col("n") >= MIN_DOCS).withColumn("all_docs", F.lit(False))
-    every = limits(fit.groupBy()).withColumn("lang", F.lit(None).cast("string")).withColumn("all_docs", F.lit(True))
-    return own.unionByName(every)
+    weight = F.least(F.lit(1.0), F.col("n") / F.lit(float(MIN_DOCS)))
+    own = limits("lang", False).select(F.col("lang").alias("__lang"), weight.alias("__weight"), F.col("limits").alias("__own"))
+    others = limits("script", True).select(F.col("script").alias("__script"), F.col("limits").alias("__others"))
+    return materialize(own, "bands"), materialize(others, "script-bands")
 
 
-def collected_bands(measures: DataFrame) -> dict:
-    """The bands on the driver: at most MAX_LANGS small rows."""
-    rows = bands(measures.select("lang", "base_failed", *MEASURES)).limit(MAX_LANGS + 1).collect()
-    if len(rows) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    as_limits = lambda r: {c: (r[c]["lo"], r[c]["hi"]) if r[c]["lo"] is not None else (-np.inf, np.inf) for c in MEASURES}
-    return {"every": next(as_limits(r) for r in rows if r["all_docs"]), "own": {r["lang"]: as_limits(r) for r in rows if not r["all_docs"]}}
+def _judged(table: DataFrame, limits: tuple[DataFrame, DataFrame], prefix: str = "") -> DataFrame:
+    """table, whose measures' names begin with prefix, with __kept. There are as many rows of scripts as Unicode has at most."""
+    own, others = limits
+    measure_of = lambda c: F.col(prefix + c)
+    known = table.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(others), measure_of("script") == F.col("__script"), "left")
+    kept = ~measure_of("base_failed")
+    more = lambda c: F.lit(SHORT[c]) / F.sqrt(F.greatest(measure_of("n_tokens"), F.lit(1)).cast("double"))
+    for c in MEASURES:
+        lo, hi = (_mixed_limit(f"{c}.{side}") for side in ("lo", "hi"))
+        kept = kept & measure_of(c).between(lo - more(c), hi + more(c))
+    return known.withColumn("__kept", F.coalesce(kept, F.lit(False)))
 
 
-def in_bands(limits: dict, lang, values: dict[str, float], n_tokens: int) -> bool:
-    own, root = limits["own"].get(lang, limits["every"]), max(n_tokens, 1) ** 0.5
-    return all(own[c][0] - SHORT[c] / root <= values[c] <= own[c][1] + SHORT[c] / root for c in MEASURES)
+def _mixed_limit(name: str) -> Column:
+    return F.col("__weight") * F.col(f"__own.{name}") + (1 - F.col("__weight")) * F.col(f"__others.{name}")
 
 
 def judge(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, lang, all counts and measures, kept. The small measures are written once, so texts are encoded once."""
     table = materialize(measure(docs, vocabulary), "quality-measures")
-    limits = collected_bands(table)
-    verdict = _within(limits["every"])
-    for lang, own in limits["own"].items():
-        same = F.col("lang").isNull() if lang is None else F.col("lang") == F.lit(lang)
-        verdict = F.when(same, _within(own)).otherwise(verdict)
-    return table.withColumn("kept", ~F.col("base_failed") & verdict)
-
-
-def _within(limits: dict):
-    out, root = F.lit(True), F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
-    for c, (lo, hi) in limits.items():
-        more = F.lit(SHORT[c]) / root
-        out = out & F.col(c).between(F.lit(float(lo)) - more, F.lit(float(hi)) + more)
-    return out
+    return _judged(table, bands(table)).select(*[c for c in table.columns if c != "script"], F.col("__kept").alias("kept"))
 
 
 def quality_filter(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The documents that are kept, with all their columns. Texts stay where they are read: the second pass
-    measures each row again and applies the bands in place instead of shuffling texts to join a verdict."""
+    measures each row again, and the bands, which are small for most corpora, are joined to it."""
     path = vocabulary or public_path("piece_bpe_32k.model")
-    limits = collected_bands(measure(docs, path))
-    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    limits = bands(materialize(measure(docs, path, ("lang",)).select("lang", "script", "base_failed", *MEASURES), "quality-measures"))
+    text, prefix, needed = docs.columns.index("text"), "__q_", ["base_failed", "n_tokens", *MEASURES, "script"]
+    types = dict(zip((c.split()[0] for c in f"{BASE}, {FEATURES}".split(", ")), TYPES, strict=True))
+    ddl = StructType.fromDDL(f"{BASE}, {FEATURES}")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = measured(batch.column(text), path)
-        langs = batch.column(lang).to_pylist()
-        keep = [not failed and in_bands(limits, langs[i], {c: found[c][i] for c in MEASURES}, found["n_tokens"][i]) for i, failed in enumerate(found["base_failed"])]
-        return batch.filter(pa.array(keep, pa.bool_()))
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c], types[c]) for c in needed)], names=[*batch.schema.names, *(prefix + c for c in needed)])
 
-    return map_arrow(docs, fn, docs.schema, release)
+    table = map_arrow(docs, fn, StructType([*docs.schema.fields, *(StructField(prefix + c, ddl[c].dataType) for c in needed)]), release)
+    return _judged(table, limits, prefix).where("__kept").select(*docs.columns)

@@ -134,6 +134,31 @@ def test_fertility_and_bands(table):
     assert kept.columns == table(natural).columns
 
 
+def test_rare_scripts_and_languages(table):
+    """Clean texts of a script that few documents have stay, and limits move little with the 200th document."""
+    greek = "\u03b7 \u03b8\u03ac\u03bb\u03b1\u03c3\u03c3\u03b1 \u03ae\u03c4\u03b1\u03bd \u03ae\u03c1\u03b5\u03bc\u03b7 \u03ba\u03b1\u03b9 \u03bf \u03bf\u03c5\u03c1\u03b1\u03bd\u03cc\u03c2 \u03ba\u03b1\u03b8\u03b1\u03c1\u03cc\u03c2 \u03c0\u03c1\u03b9\u03bd \u03b1\u03c0\u03cc \u03c4\u03b7 \u03bc\u03b5\u03b3\u03ac\u03bb\u03b7 \u03ba\u03b1\u03c4\u03b1\u03b9\u03b3\u03af\u03b4\u03b1 \u03c0\u03bf\u03c5 \u03ad\u03c6\u03b5\u03c1\u03b5 \u03bd\u03b5\u03c1\u03cc \u03c3\u03c4\u03bf \u03c7\u03c9\u03c1\u03b9\u03cc".split()
+    english = "the river was quiet and the morning sky stayed clear before a large storm brought water into every small village along the northern coast".split()
+    text = lambda seed, of: " ".join(random.Random(seed).choices(of, k=90))
+    natural = [(i, text(i, english), "en") for i in range(240)]
+    rare = [(2000 + i, text(i, greek), "el") for i in range(3)] + [(2010, text(10, greek), None)]
+    junk = (2020, "zq#" * 400 + " " + " ".join("q" * 40 + str(i) for i in range(60)), "xx")
+    judged = {r["doc_id"]: r["kept"] for r in quality.judge(table([*natural, *rare, junk])).collect()}
+    assert all(judged[i] for i, _, _ in rare) and not judged[2020]
+    assert {r["doc_id"] for r in quality.quality_filter(table([*natural, *rare, junk])).collect()} == {i for i, k in judged.items() if k}
+    assert [quality.script(t.encode()) for t in ("", "12 3", "a\u00e9", "\u00df", text(1, greek), "a \u3042\u30a2", "\u4e2d\u9fa5")] == ["", "", "LATIN", "LATIN", "GREEK", "KANA", "CJK"]
+
+
+def test_limits_are_smooth(spark):
+    def low(n):
+        rows = [("el", "GREEK", False, 0.8 + 0.001 * (i % 50), 0.05, 0.8) for i in range(n)] + [("ru", "CYRILLIC", False, 1.5, 0.01, 0.8)] * 300
+        own, others = quality.bands(spark.createDataFrame(rows, "lang string, script string, base_failed boolean, chars_per_token double, byte_share double, entropy_share double"))
+        row = own.where("__lang = 'el'").crossJoin(others.where("__script = 'GREEK'")).select(quality._mixed_limit("chars_per_token.lo")).first()
+        return row[0]
+
+    lows = [low(n) for n in (5, 50, 199, 200)]
+    assert lows[0] < lows[1] < lows[2] < 0.8 and abs(lows[3] - lows[2]) < 0.002
+
+
 # -- op3
 
 
