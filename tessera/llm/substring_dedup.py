@@ -18,8 +18,8 @@ one document equals a reference block of the other. That gives five steps, in on
 
 Buckets are made so many that one holds about BUCKET_WORDS words, at any size of input.
 
-Null or blank text: no words. Texts of fewer than WINDOW words lose nothing. Rows that share a
-doc_id are judged row by row, and equal places (doc_id, start) are not earlier than each
+Null or blank text: no words. Texts of fewer than WINDOW words lose nothing. A row is named by its
+doc_id and a 64-bit hash of its text, so rows that share a doc_id are judged row by row, and equal places (doc_id, start) are not earlier than each
 other. Null doc_id counts as larger than all others. Extra columns are ignored. An empty
 table gives an empty result.
 """
@@ -43,6 +43,8 @@ CHUNK_WORDS, BUCKET_WORDS = 500_000, 2_000_000
 #: Bytes of text for a word, to set the number of buckets.
 WORD_BYTES = 6
 LAST = (1 << 63) - 1
+#: A row's name: its doc_id and its text's hash, which tells rows of one doc_id apart but doesn't make one the earlier.
+NAME = np.dtype([("id", np.int64), ("row", np.int64)])
 
 _ODD = [np.uint64(int(k) * 2 + 1) for k in np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, size=12, dtype=np.uint64)]
 
@@ -81,12 +83,12 @@ class Chunk:
     """Documents in (doc_id) order, their word hashes one after the other."""
 
     def __init__(self, docs: list[tuple]):
-        docs.sort(key=lambda d: d[0])
+        docs.sort(key=lambda d: d[:2])
         self.docs = docs
-        lengths = np.array([len(d[1]) for d in docs], np.int64)
+        lengths = np.array([len(d[2]) for d in docs], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
-        self.hashes = np.concatenate([d[1] for d in docs])
-        self.ids = np.array([d[0] for d in docs], np.int64)
+        self.hashes = np.concatenate([d[2] for d in docs])
+        self.ids = np.array([d[:2] for d in docs], NAME)
 
     def valid(self, size: int) -> np.ndarray:
         """Places where a window of `size` words lies in one document."""
@@ -102,12 +104,12 @@ class Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     docs, n = [], 0
     for batch in batches:
-        extra = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-        for doc_id, text, more in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), extra, strict=True):
+        extra = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+        for doc_id, row, text, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), extra, strict=True):
             words = plain_words(text)
             if len(words) < WINDOW:
                 continue
-            docs.append((LAST if doc_id is None else doc_id, word_hashes(words), more))
+            docs.append((LAST if doc_id is None else doc_id, row, word_hashes(words), more))
             n += len(words)
             if n >= CHUNK_WORDS:
                 yield Chunk(docs)
@@ -223,7 +225,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(places):
             return []
         docs = np.searchsorted(starts, places, side="right") - 1
-        return [(int(ids[d]), own.astype("<u4").tobytes()) for d, own in _split(docs, places - starts[docs])]
+        return [(*ids[d].item(), own.astype("<u4").tobytes()) for d, own in _split(docs, places - starts[docs])]
 
     for batch in batches:
         rows: list[tuple] = []
@@ -232,14 +234,14 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows += told()
                 now, found = chunk, []
             if kind == TABLE:
-                ids, starts = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                ids, starts = np.frombuffer(a, NAME), np.frombuffer(b, np.int64)
             else:
                 found.append(np.frombuffer(a, "<u4").astype(np.int64))
         yield _batch(rows, _HITS, _HIT_TYPES)
     yield _batch(told(), _HITS, _HIT_TYPES)
 
 
-_HITS, _HIT_TYPES = "id long, places binary", (pa.int64(), pa.binary())
+_HITS, _HIT_TYPES = "id long, row long, places binary", (pa.int64(), pa.int64(), pa.binary())
 
 #: Rows between steps 3 and 4: windows for a bucket (keys, marks), and places known to be repeats (part below 0).
 _WINDOWS = "part long, keys binary, marks binary, ids binary, counts binary, starts binary"
@@ -250,7 +252,7 @@ def _extend(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             near = np.zeros(len(chunk.hashes) + 1, np.int64)
-            for begin, end, (_, _, more) in zip(chunk.starts[:-1], chunk.starts[1:], chunk.docs, strict=True):
+            for begin, end, (*_, more) in zip(chunk.starts[:-1], chunk.starts[1:], chunk.docs, strict=True):
                 at = np.concatenate([np.frombuffer(m, "<u4") for m in more]).astype(np.int64) + begin
                 at = at[at + BLOCK <= end]
                 np.add.at(near, np.maximum(at - (WINDOW - BLOCK), begin), 1)
@@ -265,7 +267,7 @@ def _extend(buckets: int):
             ids, starts = chunk.ids[docs], places - chunk.starts[docs]
             # chunks are in (doc_id, start) order, so the first place is the earliest
             lead = first[inverse]
-            later = (ids != ids[lead]) | (starts != starts[lead])
+            later = (ids["id"] != ids["id"][lead]) | (starts != starts[lead])
             rows = [(-1 - chunk.docs[0][0] % buckets, None, None, *_runs(ids[later]), starts[later].astype("<u4").tobytes())]
             at = np.sort(first)
             for part, key, mark, own, start in _split((marks[at] % np.uint32(buckets)).astype(np.int32), keys[at], marks[at], ids[at], starts[at]):
@@ -287,12 +289,12 @@ def _runs(ids: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _told(ids: np.ndarray, starts: np.ndarray, ranges: int) -> list[tuple]:
-    part = (_mixed(ids.astype(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+    part = (_mixed((ids["id"] ^ ids["row"]).astype(np.uint64)) % np.uint64(ranges)).astype(np.int32)
     return [(p, *_runs(own), at.astype("<u4").tobytes()) for p, own, at in _split(part, ids, starts)]
 
 
 def _spread(ids: bytes, counts: bytes) -> np.ndarray:
-    return np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, "<u4"))
+    return np.repeat(np.frombuffer(ids, NAME), np.frombuffer(counts, "<u4"))
 
 
 def _later(ranges: int):
@@ -305,13 +307,13 @@ def _later(ranges: int):
             if not held:
                 return []
             keys, marks, ids, starts = (np.concatenate([h[k] for h in held]) for k in range(4))
-            order = np.lexsort((starts, ids, marks, keys))
+            order = np.lexsort((ids["row"], starts, ids["id"], marks, keys))
             keys, marks, ids, starts = keys[order], marks[order], ids[order], starts[order]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
             lead = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
-            later = np.flatnonzero((ids != ids[lead]) | (starts != starts[lead]))
-            later = later[np.argsort(ids[later], kind="stable")]
+            later = np.flatnonzero((ids["id"] != ids["id"][lead]) | (starts != starts[lead]))
+            later = later[np.lexsort((ids["row"][later], ids["id"][later]))]
             return _told(ids[later], starts[later], ranges)
 
         for batch in batches:
@@ -338,7 +340,10 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             return []
         ids, starts = (np.concatenate([h[k] for h in held]) for k in range(2))
-        return [(d, own.astype("<u4").tobytes()) for d, own in _split(ids, starts)]
+        order = np.lexsort((ids["row"], ids["id"]))
+        ids, starts = ids[order], starts[order]
+        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, np.int64)
+        return [(*ids[a].item(), starts[a:b].astype("<u4").tobytes()) for a, b in zip(edge, [*edge[1:], len(ids)], strict=True)] if len(ids) else []
 
     for batch in batches:
         rows: list[tuple] = []
@@ -375,7 +380,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("id").agg(F.collect_list("places").alias("places"))
+    return rows.groupBy("id", "row").agg(F.collect_list("places").alias("places"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -383,25 +388,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     maximal repeat that was cut, in words)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // (WORD_BYTES * BUCKET_WORDS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"))
-    # every join by id below reads the same exchange of the texts
-    copies = F.coalesce(F.array_contains("digests", F.md5("text")), F.lit(False))
-    texts = texts.join(_copies(texts), "id", "left").select("doc_id", "text", "id", copies.alias("copy"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("row"))
+    # every join by id and row below reads the same exchange of the texts
+    texts = texts.join(_copies(texts), ["id", "row"], "left").select("doc_id", "text", "id", "row", F.coalesce("copy", F.lit(False)).alias("copy"))
     fresh = texts.where(~F.col("copy"))
 
-    emitted = fresh.select("doc_id", "text").mapInArrow(_emit(buckets), _ROWS)
+    emitted = fresh.select("doc_id", "row", "text").mapInArrow(_emit(buckets), _ROWS)
     anchors = emitted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_anchors, _ROWS)
     hits = anchors.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_by_document, _HITS)
 
-    windows = fresh.join(_merged(hits), "id").select("doc_id", "text", "places").mapInArrow(_extend(buckets), _WINDOWS)
+    windows = fresh.join(_merged(hits), ["id", "row"]).select("doc_id", "row", "text", "places").mapInArrow(_extend(buckets), _WINDOWS)
     later = windows.repartition("part").sortWithinPartitions("part").mapInArrow(_later(buckets), _PACKS)
     cut = later.repartition("part").sortWithinPartitions("part").mapInArrow(_unpacked, _HITS)
-    joined = texts.join(_merged(cut), "id", "left").select("doc_id", "text", "places", "copy")
+    joined = texts.join(_merged(cut), ["id", "row"], "left").select("doc_id", "text", "places", "copy")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, repeats array<long>")
 
 
 def _copies(texts: DataFrame) -> DataFrame:
-    """id, digests: the texts of a row with this id that a row with a smaller id has too."""
-    digests = texts.select("id", F.md5("text").alias("digest"))
+    """id, row, copy: the rows whose text a row with a smaller id has too."""
+    digests = texts.select("id", "row", F.md5("text").alias("digest"))
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
-    return digests.join(first.select("digest", "first"), "digest").where(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("digest").alias("digests"))
+    return digests.join(first.select("digest", "first"), "digest").where(F.col("id") > F.col("first")).select("id", "row").distinct().withColumn("copy", F.lit(True))

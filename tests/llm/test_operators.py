@@ -302,6 +302,16 @@ def test_substring_dedup(table, docs, monkeypatch):
     assert cut(docs) == plain_cut(docs)
 
 
+def test_long_texts_under_one_id(table):
+    """Places of a row are not cut from another row with its doc_id, or without one too."""
+    one = words(41, 80, 50_000)
+    made = [(1, " ".join(one))]
+    for k, i in enumerate((70, None)):
+        made += [(i, " ".join(one[:20] + words(42 + k, 50, 50_000))), (i, " ".join(words(52 + k, 60, 50_000))), (i, " ".join(words(62 + k, 30, 50_000) + one[30:60]))]
+    source = table(made)
+    assert cut(source) == plain_cut(source)
+
+
 # -- op6
 
 
