@@ -11,12 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/tessera-checkpoints-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """spark.checkpoint.dir, or a local folder where it is unset and all run on one machine."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/tessera-checkpoints-{os.getuid()}"
 
 
 def file_system(spark: SparkSession, path: str):
