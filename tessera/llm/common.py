@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -58,18 +58,13 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def words_sql(column) -> object:
-    """Words [^\\x20\\x09-\\x0D]+ as a native array expression; null gives an empty array."""
-    return F.coalesce(F.regexp_extract_all(column, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), F.array().cast("array<string>"))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/tessera-checkpoints-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all run on one machine."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/tessera-checkpoints-{os.getuid()}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -97,3 +92,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key is hot with more than one in HOT of all rows; so there are fewer than HOT of them, which are broadcast.
+HOT = 1_000
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, spread: Column) -> DataFrame:
+    """rows, left-joined by key with table, which has a key once at most.
+
+    counts has key and n, the rows of each key, and is read twice. A hot key's rows are dealt by `spread` over so many pieces
+    that none holds more than one in HOT of all rows; the table's row of that key goes to each piece.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT > total).select(key, F.ceil(F.col("n") * HOT / F.lit(float(max(1, total)))).cast("int").alias("__pieces"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__piece", F.coalesce(F.pmod(spread, "__pieces"), F.lit(0)).cast("int"))
+    copies = table.join(F.broadcast(hot), key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)))
+    return dealt.drop("__pieces").join(copies.drop("__pieces"), [key, "__piece"], "left").drop("__piece")
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as keep it apart from the columns (letter case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -6,6 +6,12 @@ partial file behind):
 * ``staged``   key (16 bytes of BLAKE2b over the ids), ids (little-endian uint16): each different chunk once
 * ``recipes``  segment, doc_id, start, n_tokens, chunks (the hashes in order, 16 bytes each), leaf; ascending doc_id
 * ``manifest`` segment, n_docs, n_tokens, root: Merkle root over the leaves of the segment's documents
+* ``root``     n_docs, n_tokens, root: Merkle root over the segments' roots, and the totals
+
+A leaf is made where a text is encoded, over its doc_id, number of ids and chunk hashes, and roots are made of these leaves.
+Verification makes leaves again from the recipes as they stand in the files, and holds roots and totals against the
+manifest; so a recipe that was lost, changed or written twice raises. Reading holds every chunk against its hash and every
+document's chunks against its number of ids: a chunk that was lost, cut or changed raises, and never makes a shorter text.
 
 A rolling hash over the last WINDOW ids of one document cuts its stream where the hash has
 MASK's bits set, so equal passages give equal chunks wherever they stand. Texts are encoded
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS, as_bytes, new_path, remove
+from .common import ROWS, as_bytes, materialize, new_path, remove, salted_join
 from .tokens import LowerBpe, loaded, public_path
 
 END_ID = 2
@@ -165,7 +171,13 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> st
         .sortWithinPartitions("segment", "start")
         .write.parquet(f"{path}/recipes")
     )
-    _roots(spark, path).write.parquet(f"{path}/manifest")
+    # of the leaves as they were encoded, not of the recipes' files
+    _roots(ordered.select("segment", "doc_id", "n_tokens", "chunks", "leaf"), False).write.parquet(f"{path}/manifest")
+    totals = recipes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    top = _top(spark.read.parquet(f"{path}/manifest"))
+    if top[:2] != tuple(totals):
+        raise ValueError(f"{tuple(totals)} documents and ids were encoded, but the manifest of {path} has {top[:2]}")
+    spark.createDataFrame([top], "n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{path}/root")
     remove(spark, f"{path}/ordered")
     remove(spark, f"{path}/staged/is_chunk=false")
     return path
@@ -186,18 +198,18 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key binary, ids binary, is_chunk boolean").parquet(f"{path}/staged").where("is_chunk").select(F.col("key").alias("hash"), "ids")
 
 
-def _roots(spark: SparkSession, path: str) -> DataFrame:
-    """Merkle root of each segment, from the recipes as they stand in the files."""
+def _roots(recipes: DataFrame, again: bool) -> DataFrame:
+    """Merkle root of each segment, over the leaves as given, or made again from the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, docs, tokens, out = None, Merkle(), 0, 0, []
         for batch in batches:
-            for segment, doc_id, n, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for segment, doc_id, n, chunks, leaf in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if segment != now and now is not None:
                     out.append((now, docs, tokens, tree.root()))
                     tree, docs, tokens = Merkle(), 0, 0
                 now, docs, tokens = segment, docs + 1, tokens + n
-                tree.add(leaf_of(doc_id, n, chunks))
+                tree.add(leaf_of(doc_id, n, chunks) if again else leaf)
         if now is not None:
             out.append((now, docs, tokens, tree.root()))
         if out:
@@ -206,16 +218,31 @@ def _roots(spark: SparkSession, path: str) -> DataFrame:
                 names=["segment", "n_docs", "n_tokens", "root"],
             )
 
-    rows = read_recipes(spark, path).repartition("segment").sortWithinPartitions("segment", "start")
-    return rows.select("segment", "doc_id", "n_tokens", "chunks").mapInArrow(run, "segment int, n_docs long, n_tokens long, root binary")
+    rows = recipes.repartition("segment").sortWithinPartitions("segment", "doc_id", "leaf")
+    return rows.select("segment", "doc_id", "n_tokens", "chunks", "leaf").mapInArrow(run, "segment int, n_docs long, n_tokens long, root binary")
+
+
+def _top(manifest: DataFrame) -> tuple[int, int, bytes]:
+    """Totals and the root over all segments; there is a row for each written range."""
+    tree, docs, tokens = Merkle(), 0, 0
+    for row in sorted(manifest.collect(), key=lambda r: r["segment"]):
+        tree.add(bytes(row["root"]))
+        docs, tokens = docs + row["n_docs"], tokens + row["n_tokens"]
+    return docs, tokens, tree.root()
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
-    """Raise unless every segment's recipes still give the root in the manifest."""
+    """Raise unless the recipes still give every segment's root and these the store's."""
     manifest = spark.read.parquet(f"{path}/manifest")
-    now = _roots(spark, path).select("segment", F.col("root").alias("root_now"))
-    if (bad := manifest.join(now, "segment", "full").where(~F.col("root").eqNullSafe(F.col("root_now"))).count()) > 0:
+    now = _roots(read_recipes(spark, path), True).select("segment", *[F.col(c).alias(f"{c}_now") for c in ("n_docs", "n_tokens", "root")])
+    same = F.lit(True)
+    for c in ("n_docs", "n_tokens", "root"):
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_now"))
+    if (bad := manifest.join(now, "segment", "full").where(~same).count()) > 0:
         raise ValueError(f"{bad} segments of {path} don't match their manifest")
+    told = [(r["n_docs"], r["n_tokens"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/root").collect()]
+    if told != [_top(manifest)]:
+        raise ValueError(f"the manifest of {path} doesn't match its root")
 
 
 def _shift_tables() -> np.ndarray:
@@ -276,28 +303,36 @@ def document_index(spark: SparkSession, path: str) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs, following = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            if batch.column(2).null_count:
+                raise ValueError(f"{batch.column(2).null_count} chunks of {path} are lost")
+            crcs, lengths, following = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             added = crc_before(crcs.astype(np.uint32), following.astype(np.int64) * 4).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, pa.int64())], names=["start", "added"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(added, pa.int64())], names=["start", "n", "added"])
 
     chunks = read_chunks(spark, path).mapInArrow(sums, "hash binary, n long, crc long")
     recipes = read_recipes(spark, path)
     # `start` names a document: every one has at least its end id
-    links = recipes.select("start", "chunks").mapInArrow(spread, "start long, at long, hash binary")
+    links = materialize(recipes.select("start", "chunks").mapInArrow(spread, "start long, at long, hash binary"), "token-links")
+    found = salted_join(links, chunks, "hash", links.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), F.xxhash64("start", "at"))
     rest = F.coalesce(F.sum("n").over(Window.partitionBy("start").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = links.join(chunks, "hash").select("start", "crc", rest.alias("following")).mapInArrow(combine, "start long, added long")
-    whole = parts.groupBy("start").agg(F.bit_xor("added").alias("ids_crc32"))
-    return recipes.select("doc_id", "start", "n_tokens").join(whole, "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    parts = found.select("start", "crc", "n", rest.alias("following")).mapInArrow(combine, "start long, n long, added long")
+    whole = parts.groupBy("start").agg(F.bit_xor("added").alias("ids_crc32"), F.sum("n").alias("n"))
+    checked = F.when(F.col("n") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("chunks don't add up to the document at "), F.col("start").cast("string"))))
+    return recipes.select("doc_id", "start", "n_tokens").join(whole, "start", "left").select("doc_id", "start", "n_tokens", checked.alias("ids_crc32"))
 
 
 def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """doc_id, start, ids (little-endian uint16) of all documents, or of those whose doc_id is in `wanted`."""
+    """doc_id, start, ids (little-endian uint16) of all documents, or of those whose doc_id is in `wanted`; a lost chunk raises."""
     recipes = read_recipes(spark, path)
     if wanted is not None:
         recipes = recipes.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    links = recipes.select("doc_id", "start", F.posexplode(F.expr(f"transform(sequence(0, cast(length(chunks) / {HASH_BYTES} as int) - 1), i -> substring(chunks, i * {HASH_BYTES} + 1, {HASH_BYTES}))")).alias("at", "hash"))
-    found = links.join(read_chunks(spark, path), "hash").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    return found.select("doc_id", "start", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))").alias("ids"))
+    links = recipes.select("doc_id", "start", "n_tokens", F.posexplode(F.expr(f"transform(sequence(0, cast(length(chunks) / {HASH_BYTES} as int) - 1), i -> substring(chunks, i * {HASH_BYTES} + 1, {HASH_BYTES}))")).alias("at", "hash"))
+    joined = salted_join(links, read_chunks(spark, path), "hash", links.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), F.xxhash64("start", "at"))
+    # a null among the parts, which is what a lost chunk leaves, makes the whole null
+    found = joined.groupBy("doc_id", "start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    whole = found.withColumn("ids", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))"))
+    good = F.when(F.length("ids") == 2 * F.col("n_tokens"), F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("chunks are lost of the document at "), F.col("start").cast("string"))))
+    return whole.select("doc_id", "start", good.alias("ids"))
 
 
 def token_ids(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
