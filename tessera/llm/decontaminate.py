@@ -1,13 +1,19 @@
-"""Benchmark decontamination with one Aho-Corasick automaton.
-
-Every window of WINDOW consecutive words of a benchmark item (all its words, if fewer) is a
-pattern; patterns and documents are written as words between single spaces, so one pass of
-the automaton over a document finds all windows at word boundaries. Word numbers of hits are
-mapped to code-point offsets of the original text.
-
-The automaton is made of benchmark text only. Its size is checked: a benchmark beyond
-SHARD_BYTES is dealt into that many automata, each scanned in its own tasks, and their hits
-are joined per document, so a worker never holds more than one.
+"""Benchmark decontamination with one Aho-Corasick automaton over words.
+
+Words of the benchmark get numbers, and every item is one sequence of them. A window is WINDOW consecutive
+words of an item (all its words, if fewer). The automaton's patterns are the items' non-overlapping pieces
+of PIECE words, and items shorter than a window as they are: a window of 10 words holds a whole piece of 5,
+however it lies, so a text has a window of an item just where a piece of it stands and the run of equal
+words around that piece is WINDOW long or longer. A text's word numbers pass through the automaton once;
+where a piece ends, the run is extended to both sides along the item. So the automaton has no more nodes
+than the benchmark has words, instead of ten times as many. Word numbers of hits are mapped to
+code-point offsets of the original text.
+
+The benchmark's size is bound where it leaves the executors: items are dealt by their hash into parts of about
+PART_BYTES of text (a whole public benchmark is one part), which the driver collects and broadcasts one by one as
+word numbers. Every part has its automaton; a worker holds one at a time, passes its batch of texts through
+one after the other, and joins the hits of a text in place. Texts are read and cut into words once, whatever the
+number of parts.
 
 Null or empty text (document or item): no words, no hit. Items with the same item_id count
 once; repeated document rows are reported row by row. An item_id that is null is named
@@ -16,79 +22,134 @@ once; repeated document rows are reported row by row. An item_id that is null is
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, as_bytes, map_arrow
 
-WINDOW = 10
-#: Benchmark text in one automaton. Its windows overlap, so nodes are about WINDOW times as many as characters.
-SHARD_BYTES = 256 << 10
+WINDOW, PIECE = 10, 5
+#: Benchmark text of one part; its automaton takes about 20 times as many bytes of a worker's memory at most.
+PART_BYTES = 8 << 20
 
 #: Fixed by the word definition: letters and digits of ASCII, and all other characters.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-_BUILT: dict[str, object] = {}
+_BUILT: dict[str, Benchmark] = {}
 
 
-def windows(text: bytes | None) -> set[str]:
-    words = alnum_words(text)
-    if not words:
-        return set()
-    return {f" {b' '.join(words[i : i + WINDOW]).decode('utf-8', 'replace')} " for i in range(max(1, len(words) - WINDOW + 1))}
+class Benchmark:
+    """Items' words as numbers, one item after the other, and the automaton over their pieces."""
 
+    def __init__(self, names: list[str], owners: np.ndarray, starts: np.ndarray, numbers: np.ndarray, vocabulary: list[bytes]):
+        import ahocorasick
 
-def patterns_of(items: list[tuple]) -> tuple[str, list[str], list[tuple[str, tuple[int, ...]]]]:
-    """Fingerprint, item names, and each different window with the numbers of its items."""
+        self.names, self.owners, self.starts, self.numbers = names, owners, starts, numbers
+        self.number = {w: k + 1 for k, w in enumerate(vocabulary)}  # 0: no word of the benchmark
+        places: dict[tuple, list[int]] = {}
+        whole: dict[tuple, list[int]] = {}
+        ends = starts[1:]
+        for k, (a, b) in enumerate(zip(starts[:-1].tolist(), ends.tolist(), strict=True)):
+            if b - a < WINDOW:
+                whole.setdefault(tuple(numbers[a:b].tolist()), []).append(k)
+                continue
+            for at in range(a, b - PIECE + 1, PIECE):
+                places.setdefault(tuple(numbers[at : at + PIECE].tolist()), []).append(at)
+        self.item_of = np.searchsorted(starts, np.arange(len(numbers)), side="right") - 1
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key in places.keys() | whole.keys():
+            self.automaton.add_word(key, (len(key), np.array(places.get(key, ()), np.int64), sorted({int(owners[k]) for k in whole.get(key, ())})))
+        self.empty = not (places or whole)
+        if not self.empty:
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Word intervals [first, end) that windows cover, and the items (numbers of names) that have one."""
+        if self.empty or not words:
+            return [], set()
+        get = self.number.get
+        text = tuple([get(w, 0) for w in words])
+        spans, items, known = [], set(), {}
+        for last, (n, places, whole) in self.automaton.iter(text):
+            if whole:
+                spans.append((last - n + 1, last + 1))
+                items.update(whole)
+            if len(places):
+                self._extend(text, last - n + 1, places, known, spans, items)
+        return spans, items
+
+    def _extend(self, text: tuple, first: int, places: np.ndarray, known: dict[int, int], spans: list, items: set) -> None:
+        """Runs around the piece at word `first`, for all its places in items at once. `known`: the end of the last run on each diagonal."""
+        offsets = (places - first).tolist()
+        fresh = [k for k, d in enumerate(offsets) if known.get(d, -1) <= first]
+        if not fresh:
+            return
+        places = places[fresh]
+        item = self.item_of[places]
+        low, high = self.starts[item], self.starts[item + 1]
+        left = self._run(text, first, places, -1, low)
+        right = self._run(text, first + PIECE, places + PIECE, 1, high)
+        for at, x, y, owner in zip(places.tolist(), left.tolist(), right.tolist(), self.owners[item].tolist(), strict=True):
+            known[at - first] = first + PIECE + y
+            if x + y + PIECE >= WINDOW:
+                spans.append((first - x, first + PIECE + y))
+                items.add(owner)
+
+    def _run(self, text: tuple, at: int, places: np.ndarray, step: int, bound: np.ndarray) -> np.ndarray:
+        """How many words from `at` on (before it, for step -1) equal those of each place, within its item; the places left get fewer with every word."""
+        length = np.zeros(len(places), np.int64)
+        live = np.arange(len(places))
+        done = 0
+        while len(live):
+            here = at + done if step > 0 else at - done - 1
+            if not 0 <= here < len(text) or not text[here]:
+                break
+            there = places[live] + (done if step > 0 else -done - 1)
+            inside = there < bound[live] if step > 0 else there >= bound[live]
+            live, there = live[inside], there[inside]
+            live = live[self.numbers[there] == text[here]]
+            done += 1
+            length[live] = done
+        return length
+
+
+def part_of(items: list[tuple]) -> tuple:
+    """Names, each sequence's item, starts, word numbers and vocabulary of (item_id, text) rows."""
     names = sorted({"null" if i is None else str(i) for i, _ in items})
-    number = {name: k for k, name in enumerate(names)}
-    found: dict[str, set[int]] = {}
+    number, vocabulary = {name: k for k, name in enumerate(names)}, {}
+    owners, lengths, numbers = [], [0], []
     for item_id, text in items:
-        for window in windows(text.encode() if text is not None else None):
-            found.setdefault(window, set()).add(number["null" if item_id is None else str(item_id)])
-    patterns = sorted((w, tuple(sorted(k))) for w, k in found.items())
-    return hashlib.sha256(repr((names, patterns)).encode()).hexdigest(), names, patterns
+        words = alnum_words(text.encode() if text is not None else None)
+        if words:
+            owners.append(number["null" if item_id is None else str(item_id)])
+            lengths.append(len(words))
+            numbers += [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
+    return names, np.array(owners, np.int64), np.cumsum(lengths), np.array(numbers, np.int32), list(vocabulary)
 
 
-def automaton(fingerprint: str, patterns: list[tuple[str, tuple[int, ...]]]):
-    """Built once per Python worker, from the broadcast windows."""
-    if fingerprint not in _BUILT:
-        import ahocorasick
-
+def built(name: str, part: Callable[[], tuple]) -> Benchmark:
+    """Of the last part that a Python worker has used."""
+    if name not in _BUILT:
         _BUILT.clear()
-        built = ahocorasick.Automaton()
-        for window, items in patterns:
-            built.add_word(window, (window.count(" ") - 1, items))
-        if patterns:
-            built.make_automaton()
-        _BUILT[fingerprint] = built if patterns else None
-    return _BUILT[fingerprint]
-
-
-def scan(words: list[bytes], built) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged word intervals [first, end) inside found windows, and the numbers of the items found."""
-    if built is None or not words:
-        return [], set()
-    text = b" ".join([b"", *words, b""]).decode("utf-8", "replace")
-    ends, items, starts_at = [], set(), None
-    for at, (n, found) in built.iter(text):
-        ends.append((at, n))
-        items.update(found)
-    if not ends:
-        return [], items
-    starts_at = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)  # the space before word k
-    spans: list[tuple[int, int]] = []
-    for last, n in sorted((int(np.searchsorted(starts_at, at)), n) for at, n in ends):
-        first = last - n
-        while spans and spans[-1][1] >= first:
-            first = min(first, spans.pop()[0])
-        spans.append((first, last))
-    return spans, items
+        _BUILT[name] = Benchmark(*part())
+    return _BUILT[name]
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals in order; those that meet are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,69 +161,57 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def shards(benchmark: DataFrame) -> list[tuple]:
-    """The benchmark's windows on the driver, in pieces of about SHARD_BYTES of text."""
+def parts(benchmark: DataFrame) -> list[tuple[str, Broadcast]]:
+    """The benchmark's parts, each named; one at a time stands on the driver."""
     items = benchmark.select("item_id", "text")
+    context = benchmark.sparkSession.sparkContext
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // SHARD_BYTES) or 1
-    if n == 1:
-        return [patterns_of([tuple(r) for r in items.collect()])]
-    shard = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [patterns_of([tuple(r) for r in items.where(shard == k).collect()]) for k in range(n)]
+    n = -(-total // PART_BYTES) or 1
+    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [(uuid.uuid4().hex, context.broadcast(part_of([tuple(r) for r in items.where(dealt == k).collect()]))) for k in range(n)]
 
 
-_HITS = "doc_id long, text_key string, n_words long, starts array<int>, ends array<int>, items array<string>"
+def scanner(shared: list[tuple[str, Broadcast]]) -> Callable[[list[bytes | None]], list[tuple[int, list[tuple[int, int]], list[str]]]]:
+    """Of the texts of a batch: number of words, joined intervals, and sorted names of items."""
 
+    def scan(texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+        if len(shared) == 1:  # words are made and forgotten text by text
+            bench = built(shared[0][0], lambda: shared[0][1].value)
+            return [(len(w), joined(s), sorted(bench.names[k] for k in i)) for w in map(alnum_words, texts) for s, i in [bench.scan(w)]]
+        words = list(map(alnum_words, texts))
+        found = [([], set()) for _ in words]
+        for name, part in shared:
+            bench = built(name, lambda part=part: part.value)
+            for (spans, items), w in zip(found, words, strict=True):
+                more, own = bench.scan(w)
+                spans += more
+                items.update(bench.names[k] for k in own)
+            part._value = None  # of a worker's copy; the next batch reads it from the executor's disk again
+        return [(len(w), joined(spans), sorted(items)) for w, (spans, items) in zip(words, found, strict=True)]
 
-def _hits(docs: DataFrame, shard: tuple) -> DataFrame:
-    fingerprint, names, patterns = shard
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    return scan
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        built = automaton(fingerprint, shared.value)
-        n_words, starts, ends, items = [], [], [], []
-        for text in as_bytes(batch.column(1)):
-            words = alnum_words(text)
-            spans, found = scan(words, built)
-            n_words.append(len(words))
-            starts.append([a for a, _ in spans])
-            ends.append([b for _, b in spans])
-            items.append([names[k] for k in sorted(found)])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)), pa.array(items, pa.list_(pa.string()))],
-            names=["doc_id", "text_key", "n_words", "starts", "ends", "items"],
-        )
 
-    return map_arrow(docs, fn, _HITS)
+_HITS = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_words, starts, ends (hit word intervals), items (sorted ids)."""
-    parts = shards(benchmark)
-    one = len(parts) == 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit("") if one else F.sha2("text", 256)).alias("text_key"))
-    if one:
-        return _hits(rows, parts[0]).drop("text_key")
-    found = None
-    for k, part in enumerate(parts):
-        here = _hits(rows, part).withColumn("shard", F.lit(k))
-        found = here if found is None else found.unionByName(here)
-    # equal rows have equal hits: keep one per shard, and how many there were
-    per_shard = found.groupBy("doc_id", "text_key", "shard").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n_words", "starts", "ends", "items")])
-    joined = per_shard.groupBy("doc_id", "text_key").agg(
-        F.max("copies").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_words", "starts", "ends", "items")
+    scan = scanner(parts(benchmark))
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = scan(as_bytes(batch.column(1)))
+        places = [pa.array([[s[side] for s in spans] for _, spans, _ in rows], pa.list_(pa.int32())) for side in range(2)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), *places, pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=[c.split()[0] for c in _HITS.split(", ")]
+        )
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fn, _HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spans = F.array_sort(F.arrays_zip("starts", "ends"))
-    # intervals of one automaton don't overlap; those of several may
-    n_hit = F.aggregate(
-        spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
-        lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["ends"] - F.greatest(s["starts"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["ends"]).alias("upto")),
-    )["n"].cast("long")
+    n_hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0), lambda n, s: n + s["ends"] - s["starts"]).cast("long")
     return hits(docs, benchmark).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated")
     )
@@ -170,45 +219,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, start, end (code points of the original text), one row per maximal contaminated passage."""
-    out, many = None, False
-    for fingerprint, _, patterns in shards(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(patterns)
-
-        def fn(batch: pa.RecordBatch, fingerprint=fingerprint, shared=shared) -> pa.RecordBatch:
-            built, rows = automaton(fingerprint, shared.value), []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                spans, _ = scan(alnum_words(text), built)
-                if spans:
-                    key = hashlib.sha256(text).hexdigest()
-                    places = original_spans(text.decode("utf-8", "replace"), spans)
-                    rows += [(doc_id, key, *words, *place) for words, place in zip(spans, places, strict=True)]
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _SPANS.split(", ")])
-
-        part = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, _SPANS)
-        out, many = (part, many) if out is None else (out.unionByName(part), True)
-    if not many:
-        return out.select("doc_id", "start", "end")
-    # passages of several automata that meet are one; equal rows are told once
-    before = Window.partitionBy("doc_id", "text_key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id", "text_key").orderBy("first", "last")
-    fresh = F.coalesce(F.col("first") > F.max("last").over(before), F.lit(True)).cast("int")
-    numbered = out.distinct().withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(upto))
-    return numbered.groupBy("doc_id", "text_key", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
-
-
-_SPANS = "doc_id long, text_key string, first long, last long, start long, end long"
+    scan = scanner(parts(benchmark))
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, rows = as_bytes(batch.column(1)), []
+        for doc_id, text, (_, spans, _) in zip(batch.column(0).to_pylist(), texts, scan(texts), strict=True):
+            rows += [(doc_id, *place) for place in original_spans(text.decode("utf-8", "replace"), spans)] if spans else []
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "start", "end"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), fn, "doc_id long, start long, end long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit, with all their columns; texts stay where they are read."""
-    out, at = docs, docs.columns.index("text")
-    for fingerprint, _, patterns in shards(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    at, scan = docs.columns.index("text"), scanner(parts(benchmark))
 
-        def fn(batch: pa.RecordBatch, fingerprint=fingerprint, shared=shared) -> pa.RecordBatch:
-            built = automaton(fingerprint, shared.value)
-            return batch.filter(pa.array([not scan(alnum_words(t), built)[0] for t in as_bytes(batch.column(at))], pa.bool_()))
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([not spans for _, spans, _ in scan(as_bytes(batch.column(at)))], pa.bool_()))
 
-        out = map_arrow(out, fn, docs.schema)
-    return out
+    return map_arrow(docs, fn, docs.schema)

@@ -211,6 +211,36 @@ def test_damage_is_seen(spark, docs):
         token_store.document_index(spark, path).collect()
 
 
+def rewritten(spark, path, df):
+    """Put other rows in place of a folder's."""
+    rows, schema = df.collect(), df.schema
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
+
+
+def test_loss_is_seen(spark, docs):
+    """A chunk that is lost raises on every way to read; a recipe or a segment that is lost breaks the manifest."""
+    stored = spark.read
+    path = token_store.write_store(docs.limit(20), new_path(spark, "lost"))
+    chunks = stored.parquet(f"{path}/staged/is_chunk=true").orderBy("key")
+    gone = chunks.first()["key"]
+    rewritten(spark, f"{path}/staged/is_chunk=true", chunks.where(F.col("key") != F.lit(gone)))
+    token_store.verify_manifest(spark, path)
+    with pytest.raises(Exception, match="lost"):
+        token_store.document_index(spark, path).collect()
+    with pytest.raises(Exception, match="lost"):
+        token_store.read_ids(spark, path).collect()
+    for name, spoilt in (
+        ("recipes", lambda df: df.where("start > 0")),
+        ("recipes", lambda df: df.withColumn("chunks", F.when(F.col("start") == 0, F.substring("chunks", 1, 16)).otherwise(F.col("chunks")))),
+        ("manifest", lambda df: df.withColumn("n_docs", F.col("n_docs") + 1)),
+        ("root", lambda df: df.withColumn("n_tokens", F.col("n_tokens") + 1)),
+    ):
+        path = token_store.write_store(docs.limit(20), new_path(spark, "lost"))
+        rewritten(spark, f"{path}/{name}", spoilt(stored.parquet(f"{path}/{name}")))
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.verify_manifest(spark, path)
+
+
 def test_crc_parts():
     r = random.Random(4)
     for _ in range(50):
@@ -236,10 +266,11 @@ def plain_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("shard", [None, 200])
-def test_decontaminate(spark, table, monkeypatch, shard):
-    if shard:
-        monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+@pytest.mark.parametrize("part", [None, 200])
+def test_decontaminate(spark, table, monkeypatch, part):
+    """Of one part, and of several, through which texts pass in one read."""
+    if part:
+        monkeypatch.setattr(decontaminate, "PART_BYTES", part)
     item = words(7, 25)
     items = [(1, " ".join(item)), (2, "Ä b-C"), (3, None), (4, " .. "), (10, " ".join(item[3:14])), (None, "zz zz"), (5, "rep " * 12)]
     bench = spark.createDataFrame([(i, t, "extra") for i, t in items], "item_id long, text string, start string")
@@ -262,14 +293,47 @@ def test_decontaminate_driver_tables(spark, docs, sf_dir):
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.contamination(docs, bench).collect()}
     short = [(i, t) for i, t in texts(docs)]
-    patterns = decontaminate.patterns_of(items)[2]
+    windows = {" ".join(w[i : i + 10]) for _, t in items for w in [ALNUM.findall((t or "").translate(LOWER))] for i in range(max(1, len(w) - 9)) if w}
     for i, t in short:
         joined = f" {' '.join(ALNUM.findall((t or '').translate(LOWER)))} "
-        assert got[i][4] == any(w in joined for w, _ in patterns)
+        assert got[i][4] == any(f" {w} " in joined for w in windows)
         if got[i][4]:
             assert got[i] == plain_hits(t, items)
 
 
+def test_decontaminate_random():
+    """Few different words, so that pieces stand in many items and runs overlap."""
+    r = random.Random(8)
+    for size in (2, 3, 6):
+        items = [(k, " ".join(words(100 * size + k, r.randrange(1, 40), size))) for k in range(12)]
+        bench = decontaminate.Benchmark(*decontaminate.part_of(items))
+        for k in range(40):
+            w = words(9000 + k, r.randrange(0, 120), size)
+            if k % 2 and w:
+                item = items[k % 12][1].split()
+                w[len(w) // 2 : len(w) // 2] = item[r.randrange(len(item)) :]
+            spans, found = bench.scan([x.encode() for x in w])
+            spans, names = decontaminate.joined(spans), sorted(bench.names[k] for k in found)
+            got = (len(w), sum(b - a for a, b in spans), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(spans))
+            assert got == plain_hits(" ".join(w), items)
+
+
+def test_large_benchmark_is_one_automaton(spark, table):
+    """5 MB of items: one part, one pass over the texts, and no more nodes than words."""
+    r = random.Random(9)
+    pool = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9))) for _ in range(50_000)]
+    items = [(k, " ".join(r.choices(pool, k=60))) for k in range(14_000)]
+    assert sum(len(t) for _, t in items) > 5_000_000 > 0
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    source = table([(k, f"{' '.join(words(k, 30))} {' '.join(items[k][1].split()[k % 40 : k % 40 + 8 + k % 5])} end") for k in range(60)])
+    found = decontaminate.contamination(source, bench)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(decontaminate.parts(bench)) == 1 and plan.count("MapInArrow") == 1
+    assert {x["doc_id"]: x["n_hit"] for x in found.collect()} == {k: 8 + k % 5 if k % 5 > 1 else 0 for k in range(60)}
+    part = decontaminate.part_of(items)
+    assert decontaminate.Benchmark(*part).automaton.get_stats()["nodes_count"] <= len(part[3]) + 1
+
+
 # -- op5
 
 
