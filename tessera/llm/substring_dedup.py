@@ -16,7 +16,14 @@ one document equals a reference block of the other. That gives five steps, in on
    (doc_id, start). Every other one starts earlier elsewhere.
 4. Overlapping such windows join to maximal repeats, which are cut from the text.
 
-Buckets are made so many that one holds about BUCKET_WORDS words, at any size of input.
+Buckets are made so many that one holds about BUCKET_WORDS words, at any size of input. A bucket keeps one place of each
+key: a place that repeats another's key goes out once HELD places have come together, so a passage that all documents share
+takes no more room than any other. Chunks are made of rows in (doc_id, text hash) order, so a task that runs again after
+an executor is lost numbers its chunks and places alike.
+
+Equality rests on hashes: blocks of 10 words meet by 32 bits, which only adds candidates; windows by 96 bits, under which two
+different ones of n windows are taken for equal with a probability of n ** 2 / 2 ** 97 (6e-5 for the 10 ** 12 windows of about 6 TB that
+have an anchor). Words themselves are not compared.
 
 Null or blank text: no words. Texts of fewer than WINDOW words lose nothing. A row is named by its
 doc_id and a 64-bit hash of its text, so rows that share a doc_id are judged row by row, and equal places (doc_id, start) are not earlier than each
@@ -35,11 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, plain_words
+from .common import as_bytes, materialize, plain_words, salted_join
 
 WINDOW, BLOCK = 20, 10
 #: Words of a chunk (a longer text is one of its own), and of a bucket on average.
 CHUNK_WORDS, BUCKET_WORDS = 500_000, 2_000_000
+#: Places of a bucket that wait until those with equal keys are sorted out.
+HELD = 1_000_000
 #: Bytes of text for a word, to set the number of buckets.
 WORD_BYTES = 6
 LAST = (1 << 63) - 1
@@ -176,44 +185,59 @@ def _emit(buckets: int):
     return run
 
 
+class References:
+    """A bucket's reference keys, one entry (key, chunk, place) of each, and the places that repeat a key."""
+
+    def __init__(self) -> None:
+        self.keys, self.chunks, self.places, self.told = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.waiting: list[tuple] = []
+        self.n = 0
+
+    def add(self, chunk: int, raw: bytes, gaps: bytes) -> list[tuple]:
+        keys = np.frombuffer(raw, "<u4")
+        self.waiting.append((keys, np.full(len(keys), chunk, np.int64), _places(gaps, len(keys)), np.zeros(len(keys), bool)))
+        self.n += len(keys)
+        return self.settled() if self.n > max(HELD, len(self.keys)) else []
+
+    def settled(self) -> list[tuple]:
+        """Hits among the waiting entries; of each key the first entry stays, marked if it has gone out."""
+        if not self.waiting:
+            return []
+        every = [np.concatenate(x) for x in zip((self.keys, self.chunks, self.places, self.told), *self.waiting, strict=True)]
+        self.waiting, self.n = [], 0
+        order = np.argsort(every[0], kind="stable")
+        keys, chunks, places, told = (x[order] for x in every)
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        group = np.cumsum(fresh) - 1
+        several = np.bincount(group)[group] > 1
+        out = several & ~told
+        self.keys, self.chunks, self.places, self.told = keys[fresh], chunks[fresh], places[fresh], (told | several)[fresh]
+        return [(0, HIT, chunk, place.astype("<u4").tobytes(), b"") for chunk, place in _split(chunks[out], places[out])]
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows by (part, kind): tables and hits as they are, and the places of references and probes that hit."""
-    now, held, index = None, [], None
+    now, held = None, References()
     for batch in batches:
         rows: list[tuple] = []
         for part, kind, chunk, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if part != now:
-                rows += _repeated(held)
-                now, held, index = part, [], None
+                rows += held.settled()
+                now, held = part, References()
             if kind in (TABLE, HIT):
                 rows.append((part, kind, chunk, a, b))
             elif kind == REFERENCE:
-                held.append((chunk, np.frombuffer(a, "<u4"), b))
+                rows += held.add(chunk, a, b)
             else:
-                if index is None:
-                    rows += _repeated(held)
-                    index = np.unique(np.concatenate([h[1] for h in held])) if held else np.empty(0, np.uint32)
-                    held = []
+                rows += held.settled()
                 keys = np.frombuffer(a, "<u4")
-                if len(index):
-                    at = np.minimum(np.searchsorted(index, keys), len(index) - 1)
-                    if (hit := index[at] == keys).any():
+                if len(held.keys):
+                    at = np.minimum(np.searchsorted(held.keys, keys), len(held.keys) - 1)
+                    if (hit := held.keys[at] == keys).any():
                         rows.append((part, HIT, chunk, _places(b, len(keys))[hit].astype("<u4").tobytes(), b""))
         yield _batch(rows, _ROWS, _TYPES)
-    yield _batch(_repeated(held), _ROWS, _TYPES)
-
-
-def _repeated(held: list) -> list[tuple]:
-    """References that stand in several chunks. `held` is emptied once a bucket's probes begin."""
-    if not held:
-        return []
-    keys, counts = np.unique(np.concatenate([h[1] for h in held]), return_counts=True)
-    several = keys[counts > 1]
-    out = []
-    for chunk, own, b in held:
-        if (hit := np.isin(own, several)).any():
-            out.append((0, HIT, chunk, _places(b, len(own))[hit].astype("<u4").tobytes(), b""))
-    return out
+    yield _batch(held.settled(), _ROWS, _TYPES)
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,37 +321,54 @@ def _spread(ids: bytes, counts: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(ids, NAME), np.frombuffer(counts, "<u4"))
 
 
+class Windows:
+    """A bucket's windows: of each key the earliest places (equal ones stand in rows with one doc_id); all others go out as they are passed."""
+
+    def __init__(self, ranges: int) -> None:
+        self.ranges, self.kept = ranges, 0
+        self.waiting: list[tuple] = []
+        self.n = 0
+
+    def add(self, keys: bytes, marks: bytes, ids: np.ndarray, starts: np.ndarray) -> list[tuple]:
+        self.waiting.append((np.frombuffer(keys, np.uint64), np.frombuffer(marks, np.uint32), ids, starts))
+        self.n += len(ids)
+        return self.settled() if self.n > self.kept + max(HELD, self.kept) else []
+
+    def settled(self) -> list[tuple]:
+        if not self.waiting:
+            return []
+        keys, marks, ids, starts = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        order = np.lexsort((ids["row"], starts, ids["id"], marks, keys))
+        keys, marks, ids, starts = keys[order], marks[order], ids[order], starts[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+        lead = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+        first = (ids["id"] == ids["id"][lead]) & (starts == starts[lead])
+        self.waiting = [(keys[first], marks[first], ids[first], starts[first])]
+        self.kept = self.n = int(first.sum())
+        later = np.flatnonzero(~first)
+        later = later[np.lexsort((ids["row"][later], ids["id"][later]))]
+        return _told(ids[later], starts[later], self.ranges)
+
+
 def _later(ranges: int):
     """Of rows by part: the starts of windows that start earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def told() -> list[tuple]:
-            if not held:
-                return []
-            keys, marks, ids, starts = (np.concatenate([h[k] for h in held]) for k in range(4))
-            order = np.lexsort((ids["row"], starts, ids["id"], marks, keys))
-            keys, marks, ids, starts = keys[order], marks[order], ids[order], starts[order]
-            fresh = np.ones(len(keys), bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
-            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
-            later = np.flatnonzero((ids["id"] != ids["id"][lead]) | (starts != starts[lead]))
-            later = later[np.lexsort((ids["row"][later], ids["id"][later]))]
-            return _told(ids[later], starts[later], ranges)
-
+        now, held = None, Windows(ranges)
         for batch in batches:
             rows: list[tuple] = []
             for part, keys, marks, ids, counts, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, at = _spread(ids, counts), np.frombuffer(starts, "<u4").astype(np.int64)
                 if part < 0:
-                    rows += _told(_spread(ids, counts), np.frombuffer(starts, "<u4").astype(np.int64), ranges)
+                    rows += _told(own, at, ranges)
                     continue
                 if part != now:
-                    rows += told()
-                    now, held = part, []
-                held.append((np.frombuffer(keys, np.uint64), np.frombuffer(marks, np.uint32), _spread(ids, counts), np.frombuffer(starts, "<u4").astype(np.int64)))
+                    rows += held.settled()
+                    now, held = part, Windows(ranges)
+                rows += held.add(keys, marks, own, at)
             yield _batch(rows, _PACKS, _PACK_TYPES)
-        yield _batch(told(), _PACKS, _PACK_TYPES)
+        yield _batch(held.settled(), _PACKS, _PACK_TYPES)
 
     return run
 
@@ -393,7 +434,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = texts.join(_copies(texts), ["id", "row"], "left").select("doc_id", "text", "id", "row", F.coalesce("copy", F.lit(False)).alias("copy"))
     fresh = texts.where(~F.col("copy"))
 
-    emitted = fresh.select("doc_id", "row", "text").mapInArrow(_emit(buckets), _ROWS)
+    # in this order a row's chunk and place are the same when a task is run again; the join has it already, where it sorts
+    ordered = fresh.select("doc_id", "row", "text", "id").sortWithinPartitions("id", "row").select("doc_id", "row", "text")
+    emitted = ordered.mapInArrow(_emit(buckets), _ROWS)
     anchors = emitted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_anchors, _ROWS)
     hits = anchors.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_by_document, _HITS)
 
@@ -405,7 +448,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _copies(texts: DataFrame) -> DataFrame:
-    """id, row, copy: the rows whose text a row with a smaller id has too."""
+    """id, row, copy: the rows whose text a row with a smaller id has too. A text that many rows have is dealt in pieces."""
     digests = texts.select("id", "row", F.md5("text").alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
-    return digests.join(first.select("digest", "first"), "digest").where(F.col("id") > F.col("first")).select("id", "row").distinct().withColumn("copy", F.lit(True))
+    first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    first = materialize(first, "copied")  # only of texts that several ids have
+    found = salted_join(digests.where(F.col("digest").isNotNull()), first.select("digest", "first"), "digest", first.select("digest", "n"), F.xxhash64("id", "row"))
+    return found.where(F.col("id") > F.col("first")).select("id", "row").distinct().withColumn("copy", F.lit(True))
