@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, mixing, near_dup, pii, quality, secrets, substring_dedup, token_store, url_filter
+from .common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +45,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table stands for a history: versions up to the middle id are scanned and put on the ledger, then all are,
+    of which only blobs that the ledger lacks are scanned."""
     versions = _table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) id", "text")
-    return secrets.digest(versions).withColumnRenamed("id", "doc_id")
+    middle = versions.agg(((F.min("id") + F.max("id")) / 2).cast("long")).first()[0]
+    ledger = new_path(spark, "ledger")
+    secrets.update_ledger(versions.where(F.col("id") <= F.lit(middle)), ledger)
+    return secrets.update_ledger(versions, ledger).withColumnRenamed("id", "doc_id")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import components, decontaminate, licenses, mixing, near_dup, pii, quality, secrets, substring_dedup, token_store, url_filter
+from tessera.llm import components, decontaminate, licenses, mixing, near_dup, pii, quality, queries, secrets, substring_dedup, token_store, url_filter
 from tessera.llm.common import new_path
 from tessera.llm.tokens import LowerBpe, PieceBpe, public_path
 from tests.llm.conftest import ODD, words
@@ -363,6 +363,8 @@ def test_substring_dedup(table, docs, monkeypatch):
     assert cut(source) == plain_cut(source)
     monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 100)
     assert cut(source) == plain_cut(source)
+    monkeypatch.setattr(substring_dedup, "HELD", 50)
+    assert cut(source) == plain_cut(source)
     assert cut(docs) == plain_cut(docs)
 
 
@@ -578,20 +580,41 @@ def test_secrets(spark, table, docs):
     assert "github:0:40" in extra[1] and "private_key:41:72" in extra[1]
 
 
+def all_secrets(t):
+    """Spans of every rule, by start and kind, as Python's own expressions find them."""
+    t, order = t or "", [r.kind for r in secrets.RULES]
+    more = [(m.start(), order.index(r.kind), m.end(), r.kind) for r in secrets.MORE for m in re.finditer(r.pattern, t)]
+    base = [(int(a), order.index(k), int(b), k) for k, a, b in (x.split(":") for x in base_secrets(t).split(",") if x)]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more))
+
+
+def test_all_spans(spark, table, docs):
+    long = ["ghp_" + "a" * 400 + " xoxb-" + "1-" * 200 + " AIza" + "x" * 60, "BEARER " + "q" * 25 + " Bearer short", " ".join(f"xoxp-{k:012d}" for k in range(5000))]
+    for source in (table(ODD + [(600 + i, t) for i, t in enumerate(SECRETS + long)]), docs):
+        got = secrets.digest(source.select(F.col("doc_id").alias("id"), "text", F.lit(1).alias("blob"), F.lit(2).alias("spans"))).collect()
+        assert sorted((-1 if r["id"] is None else r["id"], r["spans"]) for r in got) == sorted((-1 if i is None else i, all_secrets(t)) for i, t in texts(source))
+
+
 def test_ledger(spark, monkeypatch):
     path = new_path(spark, "ledger")
     first = spark.createDataFrame([("a", SECRETS[0]), ("b", "clean"), ("c", SECRETS[0])], "id string, text string")
     one = rows(secrets.update_ledger(first, path))
     ledger = spark.read.parquet(path)
-    n = len(secrets.RULES)
-    assert ledger.count() == 2 * n
+    assert ledger.count() == 2 and all(len(r["scanned"]) == len(secrets.RULES) for r in ledger.collect())
     second = first.union(spark.createDataFrame([("d", "clean"), ("e", SECRETS[1])], "id string, text string"))
     assert secrets.scan(second, ledger).count() == 1  # only the blob that is new
     two = rows(secrets.update_ledger(second, path))
-    assert spark.read.parquet(path).count() == 3 * n and set(one) <= set(two)
+    assert spark.read.parquet(path).count() == 3 and set(one) <= set(two)
     assert two == rows(secrets.digest(second))
     newer = (*secrets.RULES[:-1], secrets.Rule("bearer", 2, secrets.RULES[-1].pattern))
-    assert secrets.ledger_rows(secrets.scan(second, spark.read.parquet(path), newer)).count() == 3  # one pair for each blob
+    again = secrets.scan(second, spark.read.parquet(path), newer).collect()
+    assert len(again) == 3 and all(r["scanned"] == ["bearer:2"] for r in again)  # one pair for each blob
+    assert rows(secrets.update_ledger(second, path, newer)) == two and spark.read.parquet(path).count() == 6
+
+
+def test_secrets_query_is_incremental(spark, sf_dir, docs):
+    got = queries.op8_secrets(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == sorted((i, all_secrets(t)) for i, t in texts(docs))
 
 
 # -- op9
