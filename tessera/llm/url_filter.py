@@ -1,21 +1,23 @@
 """URL filters by a sort-merge range join, with DataFrame functions only.
 
 A rule (host, path, verdict) fits its host and all subdomains, where the URL's path starts with
-the rule's path. The canonical key of a place is its host with the labels reversed, a separator
-below every other character, and the path. A URL stands under one host suffix for each of its
-labels; under a suffix, a rule's path prefix is an interval of keys, and intervals of rules of
-one host nest or are disjoint.
-
-The sweep: a rule opens its interval at its key and closes it at its key followed by the
-byte FF, which no UTF-8 text holds. The rule on top of the stack after a close is the closed rule's parent, the
-longest rule of the host that is a proper prefix. So rule boundaries carry the top of the stack
-from there on, and one sorted pass over boundaries and URL keys hands each URL the top of the
-last boundary before it. Of the rules found under a URL's suffixes the longest wins (host
-length plus path length, then the smaller name).
-
-Different (host, path) pairs are judged once and joined back to the rows, so repeated URLs cost
-nothing in the sweep. Keys of one suffix are dealt over SALTS sorted runs, each with all
-boundaries of its host, so that a host with a third of all URLs is no single task's.
+the rule's path. Two sweeps over sorted keys find the rules, each over intervals that nest or are disjoint:
+
+1. Hosts. The canonical key of a host is its labels from the last to the first, each closed by a separator, so a rule's host
+   and its subdomains are the interval of keys that begin with its key. Boundaries of these intervals and the
+   different hosts of URLs are swept together, and every host is handed the stack of rule hosts that are open there.
+2. Paths. A different (host, path) stands under each rule host of its stack that is its own; there a rule's path is
+   the interval of paths that begin with it. Boundaries and paths are swept together, and every path is handed
+   the stack of rules that are open there; the longest of all wins (host length plus path length, then the smaller name).
+
+A sweep sorts its rows by key and deals them by ranges of keys, which hold about as many rows each, however many share a
+host or a path (further columns split equal keys). Each boundary carries the stack as it stands after it: an opening puts
+its rule on its parents' stack, a closing takes it off; both follow from the rules alone, as a parent is a rule with a
+proper prefix. Inside a range a row takes the stack of the last boundary before it; a range begins with the stack that
+stood at the end of the last range with a boundary, one row for each range.
+
+Different hosts and (host, path) pairs are judged once and joined back to the rows, so repeated URLs cost
+nothing in the sweeps; hosts and places that many rows share are dealt in pieces there. The work is linear in a URL's length.
 
 Null url or one without "://": host and path empty, no rule, verdict allow. Of rules with the
 same host and path, "block" goes before "allow". Rules with null host or path don't count.
@@ -27,10 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize, salted_join
+
 #: Fixed rules of the digest: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DEFAULT = "allow"
-SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,59 +46,96 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _key(host: Column, path: Column) -> Column:
-    """Bytes, which Spark compares unsigned."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("\u0001"), path).cast("binary")
+def _host_key(host: Column) -> Column:
+    """Bytes, which Spark compares unsigned. A separator inside a label is told apart from the one that closes it."""
+    labels = F.split(F.replace(host, F.lit("\x01"), F.lit("\x01\x02")), r"\.", -1)
+    return F.concat(F.array_join(F.reverse(labels), "\x01\x01"), F.lit("\x01\x01")).cast("binary")
 
 
-def _suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def _is_under(host: Column, rule_host: Column) -> Column:
+    return (host == rule_host) | host.endswith(F.concat(F.lit("."), rule_host))
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "host string, path string, verdict string")
 
 
-def boundaries(rules: DataFrame) -> DataFrame:
-    """host, key, rank (closes before opens before URLs), top: the rule that is on top from this key on, null for none."""
-    name = F.concat("host", "path")
-    rules = (
-        rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
-        .select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
-        .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-        .withColumn("rule", F.struct(F.length(name).alias("length"), name.alias("name"), "verdict"))
-    )
-    # parents: a proper prefix with a length that occurs among the host's rules (as many as the longest path at most)
-    lengths = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
-    shorter = rules.join(lengths, "host").withColumn("n", F.explode(F.filter("lengths", lambda n: n < F.length("path"))))
-    above = shorter.select("host", "path", F.col("path").substr(F.lit(1), F.col("n")).alias("above"))
-    parents = above.join(rules.select("host", F.col("path").alias("above"), F.col("rule").alias("parent")), ["host", "above"])
-    parent = parents.groupBy("host", "path").agg(F.max("parent").alias("parent"))
-    known = rules.join(parent, ["host", "path"], "left")
-    opens = known.select("host", _key(F.col("host"), F.col("path")).alias("key"), F.lit(1).alias("rank"), F.col("rule").alias("top"))
-    end = F.concat(_key(F.col("host"), F.col("path")), F.lit(bytearray(b"\xff")))
-    closes = known.select("host", end.alias("key"), F.lit(0).alias("rank"), F.col("parent").alias("top"))
+def _boundaries(intervals: DataFrame, parents: DataFrame, by: list[str]) -> DataFrame:
+    """by, key, rank (closes before opens before others), stack after it. intervals: by, key, rule;
+    parents: by, key, parents (their rules, the outermost first)."""
+    known = intervals.join(parents, [*by, "key"], "left")
+    outer = F.coalesce("parents", F.array().cast(known.schema["parents"].dataType))
+    opens = known.select(*by, "key", F.lit(1).alias("rank"), F.concat(outer, F.array("rule")).alias("stack"))
+    closes = known.select(*by, F.concat("key", F.lit(bytearray(b"\xff"))).alias("key"), F.lit(0).alias("rank"), outer.alias("stack"))
     return opens.unionByName(closes)
 
 
+def _swept(rows: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, key, and others), each with the stack of the last boundary before it among those with its `by`."""
+    others = [c for c in rows.columns if c not in (*by, "key")]
+    kind = marks.schema["stack"].dataType
+    told = marks.select(*by, "key", "rank", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in others], "stack")
+    asked = rows.select(*by, "key", F.lit(2).alias("rank"), *others, F.lit(None).cast(kind).alias("stack"))
+    order = [*by, "key", "rank"]
+    dealt = materialize(asked.unionByName(told).repartitionByRange(*order, *others).withColumn("range", F.spark_partition_id()), "sweep")
+    # a boundary always tells its stack, be it empty; others take it from the last boundary before them
+    state = F.when(F.col("rank") < 2, F.struct(*by, "stack"))
+    ends = dealt.where("rank < 2").groupBy("range").agg(F.max_by(F.struct(*by, "stack"), F.struct(*order)).alias("end"))
+    ranges = dealt.select("range").distinct().join(ends, "range", "left")  # a row for each range of keys
+    before = F.last("end", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ranges.select("range", before.alias("carried"))
+    inside = F.last(state, ignorenulls=True).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    swept = dealt.withColumn("inside", inside).where("rank = 2").join(F.broadcast(carried), "range").withColumn("last", F.coalesce("inside", "carried"))
+    own = F.lit(True)
+    for c in by:
+        own = own & F.col(f"last.{c}").eqNullSafe(F.col(c))
+    return swept.select(*by, "key", *others, F.when(own, F.col("last.stack")).alias("stack"))
+
+
+def _outer(intervals: DataFrame, shorter: DataFrame, by: list[str]) -> DataFrame:
+    """by, key, parents: for each interval, the rules of those that hold it, the outermost first. shorter: by, key, above (a key that may hold it)."""
+    found = shorter.join(intervals.select(*by, F.col("key").alias("above"), "rule"), [*by, "above"])
+    listed = F.sort_array(F.collect_list(F.struct(F.length("above").alias("n"), "rule")))
+    return found.groupBy(*by, "key").agg(F.transform(listed, lambda x: x["rule"]).alias("parents"))
+
+
 def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAULT) -> DataFrame:
     """page_id, host, path, rule, verdict: one row per page."""
     rules = default_rules(pages.sparkSession) if rules is None else rules
+    name = F.concat("host", "path")
+    rules = (
+        rules.where(F.col("host").isNotNull() & F.col("path").isNotNull())
+        .select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict")
+        .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+        .select("host", F.col("path").cast("binary").alias("key"), F.struct(F.length(name).alias("length"), name.alias("name"), "verdict").alias("rule"))
+    )
+    rules = materialize(rules, "url-rules")
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    places = urls.where((F.col("host") != "") | (F.col("path") != "")).select("host", "path").distinct()
-    under = places.withColumn("suffix", F.explode(_suffixes(F.col("host"))))
-    swept = under.select(
-        "suffix", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"), _key(F.col("suffix"), F.col("path")).alias("key"), F.lit(2).alias("rank"), "host", "path", F.lit(None).cast("struct<length:int,name:string,verdict:string>").alias("top")
-    )
-    marks = boundaries(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    marks = marks.select(F.col("host").alias("suffix"), "salt", "key", "rank", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "top")
-    # a boundary always tells the top, be it none; a URL takes it from the last boundary
-    told = F.when(F.col("rank") < 2, F.struct("top"))
-    sweep = Window.partitionBy("suffix", "salt").orderBy("key", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    found = swept.unionByName(marks).withColumn("told", F.last(told, ignorenulls=True).over(sweep)).where((F.col("rank") == 2) & F.col("told.top").isNotNull())
-    # the longest, then the smaller name
-    best = found.groupBy("host", "path").agg(F.min(F.struct((-F.col("told.top.length")).alias("shortness"), F.col("told.top.name").alias("rule"), F.col("told.top.verdict").alias("verdict"))).alias("best"))
-    joined = urls.join(best, ["host", "path"], "left")
-    return joined.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    places = materialize(urls.where((F.col("host") != "") | (F.col("path") != "")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "url-places")
+
+    # 1: rule hosts over hosts
+    hosts = rules.select(F.col("host").alias("rule")).distinct().select(_host_key(F.col("rule")).alias("key"), "rule")
+    labels = F.split("rule", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    shorter = hosts.where(F.size(labels) > 1).select("key", F.explode(suffixes).alias("above")).select("key", _host_key(F.col("above")).alias("above"))
+    marks = _boundaries(hosts, _outer(hosts, shorter, []), [])
+    asked = places.select("host").distinct().select(_host_key(F.col("host")).alias("key"), "host")
+    own = F.filter("stack", lambda rule_host: _is_under(F.col("host"), rule_host))
+    under = _swept(asked, marks, []).where(F.size("stack") > 0).select("host", own.alias("rule_hosts"))
+
+    # 2: rules of a host over paths
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("key")).alias("lengths"))
+    shorter = rules.join(lengths, "host").select("host", "key", F.explode(F.filter("lengths", lambda n: n < F.length("key"))).alias("n"))
+    shorter = shorter.select("host", "key", F.substring("key", F.lit(1), F.col("n")).alias("above"))
+    marks = _boundaries(rules, _outer(rules, shorter, ["host"]), ["host"]).withColumnRenamed("host", "rule_host")
+    paths = places.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    listed = salted_join(places.select("host", "path"), under, "host", paths, F.xxhash64("path"))
+    asked = listed.select(F.explode("rule_hosts").alias("rule_host"), F.col("path").cast("binary").alias("key"), "host", "path")
+    found = _swept(asked, marks, ["rule_host"]).where(F.size("stack") > 0)
+    # the top of the stack is the longest of its host; of several hosts the longest, then the smaller name
+    top = F.element_at("stack", -1)
+    best = found.groupBy("host", "path").agg(F.min(F.struct((-top["length"]).alias("shortness"), top["name"].alias("rule"), top["verdict"].alias("verdict"))).alias("best"))
+    place = F.struct("host", "path").alias("place")
+    joined = salted_join(urls.select("page_id", place), best.select(place, "best"), "place", places.select(place, "n"), F.xxhash64("page_id"))
+    return joined.select(F.col("page_id").cast("long").alias("page_id"), "place.host", "place.path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
