@@ -113,11 +113,12 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     counts has key and n, the rows of each key, and is read twice. A hot key's rows are dealt by `spread` over so many pieces
     that none holds more than one in HOT of all rows; the table's row of that key goes to each piece.
     """
+    piece, pieces = (free_name(c, [*rows.columns, *table.columns]) for c in ("__piece", "__pieces"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") * HOT > total).select(key, F.ceil(F.col("n") * HOT / F.lit(float(max(1, total)))).cast("int").alias("__pieces"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__piece", F.coalesce(F.pmod(spread, "__pieces"), F.lit(0)).cast("int"))
-    copies = table.join(F.broadcast(hot), key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1)))
-    return dealt.drop("__pieces").join(copies.drop("__pieces"), [key, "__piece"], "left").drop("__piece")
+    hot = counts.where(F.col("n") * HOT > total).select(key, F.ceil(F.col("n") * HOT / F.lit(float(max(1, total)))).cast("int").alias(pieces))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(piece, F.coalesce(F.pmod(spread, pieces), F.lit(0)).cast("int"))
+    copies = table.join(F.broadcast(hot), key, "left").withColumn(piece, F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1)))
+    return dealt.drop(pieces).join(copies.drop(pieces), [key, piece], "left").drop(piece)
 
 
 def free_name(name: str, columns: list[str]) -> str:
