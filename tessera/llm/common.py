@@ -121,6 +121,17 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     return dealt.drop(pieces).join(copies.drop(pieces), [key, piece], "left").drop(piece)
 
 
+#: Rows up to which a table, which is counted, is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def left_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, spread: Column) -> DataFrame:
+    """As salted_join, but for a table that is small, which goes to every executor; its rows are short."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, "left")
+    return salted_join(rows, table, key, counts, spread)
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """The name, with as many underscores before it as keep it apart from the columns (letter case doesn't count)."""
     taken = {c.lower() for c in columns}

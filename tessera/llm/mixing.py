@@ -30,13 +30,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, salted_join
+from .common import free_name, left_join, materialize
 
 #: Weights of the sources in code-point order, repeating; the words to take as a share of all; uses of a document at most.
 WEIGHTS, SHARE, MOST_USES = (3, 1, 2), 1.5, 2
 SEED = 7
-#: Rows of a bucket on average, and patterns up to which their plan (about 100 bytes each) is broadcast; beyond, rows meet it by a shuffle.
-BUCKET_ROWS, BROADCAST_ROWS = 4_096, 50_000
+#: Rows of a bucket on average.
+BUCKET_ROWS = 4_096
 
 
 def word_count(text: Column) -> Column:
@@ -209,10 +209,7 @@ def _selected(rows: DataFrame, names: dict[str, str], **settings) -> DataFrame:
     sums = materialize(own.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix-sums")
     totals = plan(sums, **settings)
     renamed = totals.select(F.col("pattern").alias(names["pattern"]), "n", *[F.col(c).alias(names[c]) for c in ("full", "rest", "last", "before", "source_size", "target")])
-    if totals.count() <= BROADCAST_ROWS:
-        known = rows.join(F.broadcast(renamed.drop("n")), names["pattern"])
-    else:
-        known = salted_join(rows, renamed.drop("n"), names["pattern"], renamed.select(names["pattern"], "n"), F.xxhash64(names["order"]))
+    known = left_join(rows, renamed.drop("n"), names["pattern"], renamed.select(names["pattern"], "n"), F.xxhash64(names["order"]))
     bucket, last, size, extra = (F.col(names[c]) for c in ("bucket", "last", "size", "extra"))
     plain = known.where(bucket != last).withColumn(names["extra"], F.when(bucket < last, size).otherwise(F.lit(0)))
     by = Window.partitionBy(names["pattern"]).orderBy(names["order"], names["size"], F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)

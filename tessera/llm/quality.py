@@ -1,16 +1,20 @@
 """Quality rules by tokeniser fertility.
 
-Each whole text is measured under a public vocabulary: characters per token, the share of
-tokens that fall back to bytes, and the entropy of its tokens as a share of the most that
-its number of tokens allows. Rejection bands are set per language: median -/+ SPREAD times
+Each whole text is measured under two public vocabularies. Under a subword one with byte fallback: characters per token,
+the share of tokens that fall back to bytes, and the entropy of its tokens as a share of the most that
+its number of tokens allows; under a lower-casing word-level BPE, whose merges come from other texts: characters per token.
+Rejection bands are set per language: median -/+ SPREAD times
 the distance from the median to the quartile beyond it, over every measured document of the
 language, and wider by SHORT / sqrt(tokens), as short texts vary more. With n < MIN_DOCS documents of a language, its limits count by
 n / MIN_DOCS, and those of the document's script (that of most of its letters) for the rest. A script's distances are
 wider by sqrt(MIN_DOCS / n) where it has n < MIN_DOCS documents itself. So no document is held against bands that other
 scripts set, and limits move by little from one document to the next. Bands are joined as tables, for any number of languages.
 
+Quartiles are counted, over measures in steps of STEP, so they and all verdicts are the same however the rows are dealt.
+Texts are encoded once: measures are written beside them (or beside their ids), and bands and verdicts follow from these.
+
 Null or empty text: no words, all measures 0, base_failed. Null language: a language of its
-own. Repeated rows are judged row by row. Extra columns are ignored by ``measure`` and kept
+own. Repeated rows are judged row by row. Extra columns, whatever their names, are ignored by ``measure`` and kept
 by ``quality_filter``. An empty table gives an empty result.
 """
 
@@ -23,12 +27,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import as_bytes, map_arrow, materialize, plain_words
-from .tokens import PieceBpe, loaded, public_path, release
+from .common import as_bytes, left_join, map_arrow, materialize, plain_words
+from .tokens import CACHE_WORDS, Lengths, LowerBpe, PieceBpe, loaded, public_path, release
 
 SYMBOLS = b"#*$%&|<>"
 #: A text needs this many words, and at most this percentage of them in repeated 3-word windows.
@@ -36,8 +40,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Width of a band in quartile distances, the least distance it is set from, the allowance for short texts, and the
 #: documents that a language needs to be judged by its own limits alone, and a script by limits that are not widened.
 SPREAD = 4.0
-LEAST = {"chars_per_token": 0.025, "byte_share": 0.005, "entropy_share": 0.06}
-SHORT = {"chars_per_token": 3.0, "byte_share": 0.3, "entropy_share": 0.5}
+LEAST = {"chars_per_token": 0.025, "byte_share": 0.005, "entropy_share": 0.06, "chars_per_word_token": 0.05}
+SHORT = {"chars_per_token": 3.0, "byte_share": 0.3, "entropy_share": 0.5, "chars_per_word_token": 4.0}
+STEP = {"chars_per_token": 0.001, "byte_share": 0.0001, "entropy_share": 0.0001, "chars_per_word_token": 0.001}
+VOCABULARIES = ("piece_bpe_32k.model", "word_bpe_49k.json")
 MIN_DOCS = 200
 ASCII = bytes(range(128))
 LETTERS = bytes(b for b in ASCII if chr(b).isalpha())
@@ -48,7 +54,7 @@ KANA = {"HIRAGANA", "KATAKANA"}
 
 MEASURES = list(LEAST)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
-FEATURES = "n_tokens long, chars_per_token double, byte_share double, entropy_share double, script string"
+FEATURES = "n_tokens long, chars_per_token double, byte_share double, entropy_share double, chars_per_word_token double, script string"
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -110,108 +116,139 @@ def script(text: bytes | None) -> str:
     return max(counts, key=lambda s: (counts[s], s)) if any(counts.values()) else ""
 
 
-def fertility(words: list[bytes], word_chars: int, encoder: PieceBpe) -> tuple[int, float, float, float]:
-    ids = encoder.encode(words)
-    n = len(ids)
-    if not n:
-        return 0, 0.0, 0.0, 0.0
-    counts = np.bincount(ids, minlength=len(encoder.bytes))
-    fallback = int(counts[encoder.bytes].sum())
-    counts = counts[counts > 0]
-    entropy = np.log2(n) - float((counts * np.log2(counts)).sum()) / n
-    return n, word_chars / n, fallback / n, entropy / np.log2(n) if n > 1 else 1.0
+class Fertility:
+    """Both vocabularies' encoders of a worker."""
+
+    def __init__(self, paths: tuple[str, str]):
+        self.pieces = PieceBpe(paths[0])
+        self.plain = LowerBpe(paths[1])
+        self.lengths = Lengths(self.plain._word)
+
+    def forget(self) -> None:
+        for words in (self.pieces.words, self.plain.words, self.lengths):
+            words.clear()
 
+    def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float, float]:
+        """n_tokens, and the measures in their order; `chars` are the words' code points."""
+        ids = self.pieces.encode(words)
+        n, m = len(ids), self.lengths.total(words)
+        if len(self.plain.words) > CACHE_WORDS:
+            self.plain.words.clear()
+        other = chars / m if m else 0.0
+        if not n:
+            return 0, 0.0, 0.0, 0.0, other
+        counts = np.bincount(ids, minlength=len(self.pieces.bytes))
+        fallback = int(counts[self.pieces.bytes].sum())
+        counts = counts[counts > 0]
+        entropy = np.log2(n) - float((counts * np.log2(counts)).sum()) / n
+        return n, chars / n, fallback / n, entropy / np.log2(n) if n > 1 else 1.0, other
 
-def measured(texts: pa.Array, path: str) -> dict[str, list]:
+
+def measured(texts: pa.Array, paths: tuple[str, str]) -> dict[str, pa.Array]:
     """Base counts and fertility of every text of a batch."""
-    encoder = loaded(PieceBpe, path)
+    encoders = loaded(Fertility, paths)
     rows = []
     for text, length in zip(as_bytes(texts), pc.utf8_length(texts).to_pylist(), strict=True):
         words = plain_words(text)
+        symbols = len(text) - len(text.translate(None, SYMBOLS)) if text else 0
         if not words:
-            rows.append((0, 0, len(text) - len(text.translate(None, SYMBOLS)) if text else 0, 0, 0, True, 0, 0.0, 0.0, 0.0, ""))
+            rows.append((0, 0, symbols, 0, 0, True, 0, 0.0, 0.0, 0.0, 0.0, ""))
             continue
         chars = length - (len(text) - sum(map(len, words)))
         repeat = repeated_words(words)
-        rows.append(
-            (len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeat, base_failed(len(words), repeat), *fertility(words, chars, encoder), script(text))
-        )
+        rows.append((len(words), chars, symbols, duplicate_lines(text), repeat, base_failed(len(words), repeat), *encoders.measures(words, chars), script(text)))
     names = [c.split()[0] for c in f"{BASE}, {FEATURES}".split(", ")]
-    return dict(zip(names, map(list, zip(*rows, strict=True)) if rows else [[] for _ in names], strict=True))
+    return {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(zip(names, TYPES, strict=True))}
+
+
+def _fields() -> list[StructField]:
+    return StructType.fromDDL(f"{BASE}, {FEATURES}").fields
 
 
-def measure(docs: DataFrame, vocabulary: str | None = None, keys: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """One row per document: the key columns, the base counts and the fertility measures."""
-    path = vocabulary or public_path("piece_bpe_32k.model")
-    kept = docs.select(*keys, "text")
-    fields = kept.drop("text").schema
+TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), *[pa.float64()] * 4, pa.string()]
+
+
+def _paths(vocabularies: tuple[str, str] | None) -> tuple[str, str]:
+    return vocabularies or (public_path(VOCABULARIES[0]), public_path(VOCABULARIES[1]))
+
+
+def measure(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
+    """One row per document: doc_id, lang, the base counts and the fertility measures."""
+    paths = _paths(vocabularies)
+    kept = docs.select("doc_id", "lang", "text")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = measured(batch.column(len(keys)), path)
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(keys)], *(pa.array(v, t) for v, t in zip(found.values(), TYPES, strict=True))], names=[*keys, *found]
-        )
+        found = measured(batch.column(2), paths)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *found.values()], names=["doc_id", "lang", *found])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return map_arrow(kept, fn, f"{ddl}, {BASE}, {FEATURES}", release)
+    return map_arrow(kept, fn, StructType([*kept.schema.fields[:2], *_fields()]), release)
 
 
-TYPES = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+def language() -> Column:
+    """Names a language, null among them."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
 
 
 def bands(measures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """__lang, __weight, __own (lo and hi of every measure): a row per language; __script, __others: a row per script."""
+    """language, n, weight, own (lo and hi of every measure): a row per language; script, others: a row per script."""
     fit = measures.where(~F.col("base_failed"))
-
-    def limits(key: str, widened: bool) -> DataFrame:
-        out = fit.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in MEASURES])
+    steps = [F.struct(F.lit(c).alias("measure"), F.round(F.col(c) / step).cast("long").alias("at")) for c, step in STEP.items()]
+
+    def limits(key: Column, widened: bool) -> DataFrame:
+        counted = fit.select(key.alias("key"), F.explode(F.array(*steps)).alias("x")).groupBy("key", "x.measure", "x.at").agg(F.count(F.lit(1)).alias("rows"))
+        below = F.sum("rows").over(Window.partitionBy("key", "measure").orderBy("at"))
+        n = F.sum("rows").over(Window.partitionBy("key", "measure"))
+        placed = counted.withColumns({"below": below, "n": n})
+        quartile = lambda q: F.min(F.when(F.col("below") >= F.lit(q) * F.col("n"), F.col("at")))
+        found = placed.groupBy("key", "measure").agg(F.max("n").alias("n"), *[quartile(q).alias(name) for q, name in ((0.25, "low"), (0.5, "mid"), (0.75, "high"))])
         spread = F.lit(SPREAD) * (F.sqrt(F.greatest(F.lit(1.0), F.lit(float(MIN_DOCS)) / F.col("n"))) if widened else F.lit(1.0))
+        out = []
         for c, least in LEAST.items():
-            low, mid, high = (F.col(c)[i] for i in range(3))
-            out = out.withColumn(c, F.struct((mid - spread * F.greatest(mid - low, F.lit(least))).alias("lo"), (mid + spread * F.greatest(high - mid, F.lit(least))).alias("hi")))
-        return out.withColumn("limits", F.struct(*MEASURES))
+            low, mid, high = (F.col(x) * STEP[c] for x in ("low", "mid", "high"))
+            both = F.struct((mid - spread * F.greatest(mid - low, F.lit(least))).alias("lo"), (mid + spread * F.greatest(high - mid, F.lit(least))).alias("hi"))
+            out.append(F.max(F.when(F.col("measure") == c, both)).alias(c))
+        return found.groupBy("key").agg(F.max("n").alias("n"), *out).select("key", "n", F.struct(*MEASURES).alias("limits"))
 
     weight = F.least(F.lit(1.0), F.col("n") / F.lit(float(MIN_DOCS)))
-    own = limits("lang", False).select(F.col("lang").alias("__lang"), weight.alias("__weight"), F.col("limits").alias("__own"))
-    others = limits("script", True).select(F.col("script").alias("__script"), F.col("limits").alias("__others"))
+    own = limits(language(), False).select(F.col("key").alias("language"), "n", weight.alias("weight"), F.col("limits").alias("own"))
+    others = limits(F.col("script"), True).select(F.col("key").alias("script"), F.col("limits").alias("others"))
     return materialize(own, "bands"), materialize(others, "script-bands")
 
 
-def _judged(table: DataFrame, limits: tuple[DataFrame, DataFrame], prefix: str = "") -> DataFrame:
-    """table, whose measures' names begin with prefix, with __kept. There are as many rows of scripts as Unicode has at most."""
+def _judged(table: DataFrame, limits: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """table (lang, and the measures) with kept. There are as many rows of scripts as Unicode has at most."""
     own, others = limits
-    measure_of = lambda c: F.col(prefix + c)
-    known = table.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(others), measure_of("script") == F.col("__script"), "left")
-    kept = ~measure_of("base_failed")
-    more = lambda c: F.lit(SHORT[c]) / F.sqrt(F.greatest(measure_of("n_tokens"), F.lit(1)).cast("double"))
+    known = left_join(table.withColumn("language", language()), own.drop("n"), "language", own.select("language", "n"), F.xxhash64("n_tokens", "word_chars"))
+    known = known.join(F.broadcast(others), "script", "left")
+    kept = ~F.col("base_failed")
+    more = lambda c: F.lit(SHORT[c]) / F.sqrt(F.greatest("n_tokens", F.lit(1)).cast("double"))
     for c in MEASURES:
         lo, hi = (_mixed_limit(f"{c}.{side}") for side in ("lo", "hi"))
-        kept = kept & measure_of(c).between(lo - more(c), hi + more(c))
-    return known.withColumn("__kept", F.coalesce(kept, F.lit(False)))
+        kept = kept & F.col(c).between(lo - more(c), hi + more(c))
+    return known.withColumn("kept", F.coalesce(kept, F.lit(False)))
 
 
 def _mixed_limit(name: str) -> Column:
-    return F.col("__weight") * F.col(f"__own.{name}") + (1 - F.col("__weight")) * F.col(f"__others.{name}")
+    return F.col("weight") * F.col(f"own.{name}") + (1 - F.col("weight")) * F.col(f"others.{name}")
 
 
-def judge(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def judge(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, lang, all counts and measures, kept. The small measures are written once, so texts are encoded once."""
-    table = materialize(measure(docs, vocabulary), "quality-measures")
-    return _judged(table, bands(table)).select(*[c for c in table.columns if c != "script"], F.col("__kept").alias("kept"))
+    table = materialize(measure(docs, vocabularies), "quality-measures")
+    return _judged(table, bands(table)).select(*[c for c in table.columns if c != "script"], "kept")
 
 
-def quality_filter(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """The documents that are kept, with all their columns. Texts stay where they are read: the second pass
-    measures each row again, and the bands, which are small for most corpora, are joined to it."""
-    path = vocabulary or public_path("piece_bpe_32k.model")
-    limits = bands(materialize(measure(docs, path, ("lang",)).select("lang", "script", "base_failed", *MEASURES), "quality-measures"))
-    text, prefix, needed = docs.columns.index("text"), "__q_", ["base_failed", "n_tokens", *MEASURES, "script"]
-    types = dict(zip((c.split()[0] for c in f"{BASE}, {FEATURES}".split(", ")), TYPES, strict=True))
-    ddl = StructType.fromDDL(f"{BASE}, {FEATURES}")
+def quality_filter(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataFrame:
+    """The documents that are kept, with all their columns. They are written once, each whole beside its measures, from
+    which bands and verdicts are read."""
+    paths = _paths(vocabularies)
+    text = docs.columns.index("text")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = measured(batch.column(text), path)
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[c], types[c]) for c in needed)], names=[*batch.schema.names, *(prefix + c for c in needed)])
+        found = measured(batch.column(text), paths)
+        whole = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+        return pa.RecordBatch.from_arrays([whole, *found.values()], names=["doc", *found])
 
-    table = map_arrow(docs, fn, StructType([*docs.schema.fields, *(StructField(prefix + c, ddl[c].dataType) for c in needed)]), release)
-    return _judged(table, limits, prefix).where("__kept").select(*docs.columns)
+    table = materialize(map_arrow(docs, fn, StructType([StructField("doc", docs.schema), *_fields()]), release), "quality-measured")
+    table = table.withColumn("lang", F.col("doc.lang"))
+    return _judged(table, bands(table)).where("kept").select("doc.*")

@@ -13,8 +13,8 @@ from array import array
 
 import numpy as np
 
-#: Entries after which a worker forgets its words: about 120 MB. An executor's workers share its memory with the JVM.
-CACHE_WORDS = 600_000
+#: Entries after which a worker forgets its words: about 70 MB. An executor's workers share its memory with the JVM.
+CACHE_WORDS = 300_000
 
 
 class Words(dict):
@@ -35,6 +35,19 @@ class Words(dict):
         return b"".join(map(self.__getitem__, words))
 
 
+class Lengths(Words):
+    """word (bytes) -> how many ids it has."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.encode(word)) // 2
+        return n
+
+    def total(self, words: list[bytes]) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return sum(map(self.__getitem__, words))
+
+
 def packed(ids: list[int]) -> bytes:
     return array("H", ids).tobytes()
 
@@ -60,6 +73,9 @@ class LowerBpe:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = dict(zip(sorted(set(range(256)) - set(plain)), range(256, 512)))  # noqa: B905
 
+    def forget(self) -> None:
+        self.words.clear()
+
     def _letters(self, piece: str) -> bytes:
         """A run of Latin letters is one pre-token, and no normaliser but lower-casing changes it: the model alone gives its ids."""
         raw = piece.lower().encode().decode("latin-1").translate(self.shown)
@@ -98,6 +114,9 @@ class PieceBpe:
         self.bytes = np.array([self.model.is_byte(i) for i in range(size)])
         self.words = Words(lambda w: packed(self.model.encode(w.decode("utf-8", "replace"))))
 
+    def forget(self) -> None:
+        self.words.clear()
+
     def encode(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(self.words.ids(words), dtype="<u2")
 
@@ -105,7 +124,7 @@ class PieceBpe:
 _LOADED: dict[tuple, object] = {}
 
 
-def loaded(kind: type, path: str):
+def loaded(kind: type, path: str | tuple):
     """The encoder of a Python worker, which is used again by its next tasks; one at a time."""
     key = (kind, path)
     if key not in _LOADED:
@@ -117,7 +136,7 @@ def loaded(kind: type, path: str):
 def release() -> None:
     """Give the words of a worker's encoder back, so that later stages in the same worker have the memory."""
     for encoder in _LOADED.values():
-        encoder.words.clear()
+        encoder.forget()
 
 
 def public_path(name: str) -> str:
