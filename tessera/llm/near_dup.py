@@ -18,8 +18,10 @@ so sketches merge; equal registers are about as likely as the Jaccard similarity
 4. Where a leader's group still has members of different components, its members' differences
    from the leader (shingles that only one of the two sets has) are listed. Two members' symmetric
    difference is |A| + |B| - 2 |A & B| of these lists, so their similarity is exact. Members with
-   no link to the leader are the only ones that can add links; blocks of BLOCK of them are indexed
-   by shingle, and the group's members stream past. A block tells only links that join components.
+   no link to the leader are the only ones that can add links. They are dealt into blocks, and all members into pieces;
+   in each cell of this grid a block is indexed by shingle and a piece streams past it, so no task grows with a group.
+   A block has BLOCK members at most and a piece as many, or PIECE where the group has fewer without a link, so rows are
+   copied about once each unless more than BLOCK members of one group have no link. A cell tells only links that join components.
 5. Links are contracted to components; a component is named by its smallest doc_id.
 
 So no pairs within a group are made into rows, and a link between different texts that share a key
@@ -27,7 +29,7 @@ is either found or lies within a component found without it.
 
 Empty sets (null or blank text) are linked with nothing. Repeated rows and equal doc_ids: a row
 each; equal sets share the component. Null doc_id counts as larger than all others. Extra
-columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``. An empty
+columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``. An empty
 table gives an empty result.
 """
 
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import ROWS, as_bytes, map_arrow, materialize
+from .common import as_bytes, free_name, left_join, map_arrow, materialize
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -202,7 +204,7 @@ def _compared(dealt: DataFrame, load: Callable, compare: Callable, out: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first = None, None
-        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        for batch in (b.slice(k, PIECE) for b in batches for k in range(0, b.num_rows, PIECE)):
             pairs = []
             heads = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
             values = zip(*(batch.column(k).to_pylist() for k in range(3, batch.num_columns)), strict=True)
@@ -260,27 +262,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, with_differences: bool, rules:
     return _compared(_dealt(pairs, texts, ["text", "set_key"]), load, compare, _TESTED)
 
 
-_IN_BLOCKS = "leader", "block", "streams", "node", "root", "n", "apart", "differences"
+_IN_CELLS = "leader", "block", "piece", "streams", "node", "root", "n", "apart", "differences"
 
 
 def _joining(tested: DataFrame, roots: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """a, b: links within leaders' groups that join different components."""
     placed = tested.dropDuplicates(["leader", "node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    blocks = placed.where(~F.col("linked")).groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(blocks, "leader")
-    held = rows.where(~F.col("linked")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("streams", F.lit(False))
-    streams = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("streams", F.lit(True))
-    dealt = held.select(*_IN_BLOCKS).unionByName(streams.select(*_IN_BLOCKS)).repartition("leader", "block").sortWithinPartitions("leader", "block", "streams")
+    placed = materialize(placed, "differences")
+    sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("alone"))
+    grid = sizes.where("alone > 0").select(
+        "leader", "members", F.ceil(F.col("alone") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("members") / F.greatest(F.lit(PIECE), F.least("alone", F.lit(BLOCK)))).cast("int").alias("pieces")
+    )
+    grid = materialize(grid, "grid")
+    rows = left_join(placed, grid.drop("members"), "leader", grid.select("leader", F.col("members").alias("n")), F.xxhash64("node")).where(F.col("blocks").isNotNull())
+    dealt = lambda column, salt: F.pmod(F.xxhash64("node", F.lit(salt)), column).cast("int")
+    every = lambda column: F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+    held = rows.where(~F.col("linked")).withColumns({"block": dealt("blocks", 0), "streams": F.lit(False)}).withColumn("piece", every("pieces"))
+    streams = rows.withColumns({"piece": dealt("pieces", 1), "streams": F.lit(True)}).withColumn("block", every("blocks"))
+    cells = held.select(*_IN_CELLS).unionByName(streams.select(*_IN_CELLS)).repartition("leader", "block", "piece").sortWithinPartitions("leader", "block", "piece", "streams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, None
         for batch in batches:
             found = []
-            differences = batch.column(7)
+            differences = batch.column(8)
             values, offsets = differences.values.to_numpy(), differences.offsets.to_numpy()
-            for k, (leader, number, streaming, node, root, n, apart) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
-                if (leader, number) != at:
-                    at, block = (leader, number), Block(rules)
+            for k, (leader, number, piece, streaming, node, root, n, apart) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True)):
+                if (leader, number, piece) != at:
+                    at, block = (leader, number, piece), Block(rules)
                 own = np.split(values[offsets[k] : offsets[k + 1]], np.cumsum(apart)[:-1])
                 if streaming:
                     found += block.links(node, root, n, own)
@@ -288,7 +297,7 @@ def _joining(tested: DataFrame, roots: DataFrame, rules: tuple[Rule, ...]) -> Da
                     block.add(node, root, n, own)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(run, "a long, b long")
 
 
 class Block:
@@ -403,19 +412,19 @@ def drop_near_duplicates(docs: DataFrame, rules: tuple[Rule, ...] = CONTRACT) ->
     """One document of each component, that with the smallest doc_id, and all documents with empty sets; all columns of docs."""
     sketches, classes = _named(docs, rules)
     # where the smallest doc_id stands for several sets, the smallest key decides
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__doc"), F.col("set_key").alias("__key")))
-    chosen = classes.groupBy("root").agg(least.alias("x")).select("x.__doc", "x.__key")
+    own, key, doc = (free_name(c, docs.columns) for c in ("__set", "__key", "__doc"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias(doc), F.col("set_key").alias(key)))
+    chosen = classes.groupBy("root").agg(least.alias("x")).select(f"x.{doc}", f"x.{key}")
     text = docs.columns.index("text")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [key_of(shingle_sets(t, rules)) for t in as_bytes(batch.column(text))]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "__set"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, own])
 
-    keyed = map_arrow(docs, fn, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
-    kept = keyed.join(chosen, (F.col("__set") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-    kept = kept.where(F.col("__set").isNull() | F.col("__key").isNotNull())
+    keyed = map_arrow(docs, fn, StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    kept = keyed.join(chosen, (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+    kept = kept.where(F.col(own).isNull() | F.col(key).isNotNull())
     if not sketches.where(F.col("n")[0] > 0).groupBy("doc_id", "set_key").count().where(F.col("count") > 1).isEmpty():
-        alone = kept.where(F.col("__set").isNotNull()).dropDuplicates(["__set"])  # equal rows: one of them
-        kept = alone.unionByName(kept.where(F.col("__set").isNull()))
+        alone = kept.where(F.col(own).isNotNull()).dropDuplicates([own])  # equal rows: one of them
+        kept = alone.unionByName(kept.where(F.col(own).isNull()))
     return kept.select(*docs.columns)
-

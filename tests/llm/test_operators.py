@@ -7,13 +7,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import components, decontaminate, licenses, mixing, near_dup, pii, quality, queries, secrets, substring_dedup, token_store, url_filter
+from tessera.llm import common, components, decontaminate, licenses, mixing, near_dup, pii, quality, queries, secrets, substring_dedup, token_store, url_filter
 from tessera.llm.common import new_path
-from tessera.llm.tokens import LowerBpe, PieceBpe, public_path
+from tessera.llm.tokens import LowerBpe, public_path
 from tests.llm.conftest import ODD, words
 
 
@@ -118,13 +119,14 @@ def test_quality_base(table, docs):
 
 
 def test_fertility_and_bands(table):
-    encoder = PieceBpe(public_path("piece_bpe_32k.model"))
-    sample = "That and onesen \u4e2d\u9fa5 ok"
-    n, chars, fallback, entropy = quality.fertility(sample.encode().split(), 19, encoder)
-    ids = [i for w in sample.split() for i in encoder.model.encode(w)]
+    both = quality.Fertility(quality._paths(None))
+    sample = "That and onesen \u4e2d\u9fa5 ok don't"
+    n, chars, fallback, entropy, other = both.measures(sample.encode().split(), 25)
+    ids = [i for w in sample.split() for i in both.pieces.model.encode(w)]
     counts = np.array(list(Counter(ids).values()))
-    assert n == len(ids) and chars == 19 / n and fallback == sum(encoder.model.is_byte(i) for i in ids) / n
+    assert n == len(ids) and chars == 25 / n and fallback == sum(both.pieces.model.is_byte(i) for i in ids) / n
     assert entropy == pytest.approx(-(counts / n * np.log2(counts / n)).sum() / np.log2(n))
+    assert other == 25 / len(both.plain.tokenizer.encode(sample, add_special_tokens=False).ids)
     natural = [(i, " ".join(words(i, 120)), "en") for i in range(240)]
     strange = [(1000, " ".join(chr(0x10000 + i) for i in range(120)), "en"), (1001, " ".join(words(9, 100)), None)]
     judged = {r["doc_id"]: r["kept"] for r in quality.judge(table(natural + strange)).collect()}
@@ -148,11 +150,57 @@ def test_rare_scripts_and_languages(table):
     assert [quality.script(t.encode()) for t in ("", "12 3", "a\u00e9", "\u00df", text(1, greek), "a \u3042\u30a2", "\u4e2d\u9fa5")] == ["", "", "LATIN", "LATIN", "GREEK", "KANA", "CJK"]
 
 
+def plain_kept(rows):
+    """Verdicts from measures, with quartiles counted in plain Python."""
+    groups, out = {}, []
+    for r in rows:
+        if not r["base_failed"]:
+            for key in (("lang", r["lang"]), ("script", r["script"])):
+                groups.setdefault(key, []).append(r)
+    def limits(key, c):
+        of = sorted(int(np.floor(r[c] / quality.STEP[c] + 0.5)) for r in groups[key])
+        low, mid, high = (of[int(np.ceil(q * len(of))) - 1] * quality.STEP[c] for q in (0.25, 0.5, 0.75))
+        wide = quality.SPREAD * (max(1.0, quality.MIN_DOCS / len(of)) ** 0.5 if key[0] == "script" else 1)
+        return mid - wide * max(mid - low, quality.LEAST[c]), mid + wide * max(high - mid, quality.LEAST[c])
+    for r in rows:
+        kept = not r["base_failed"]
+        for c in quality.MEASURES if kept else ():
+            weight = min(1.0, len(groups["lang", r["lang"]]) / quality.MIN_DOCS)
+            lo, hi = (weight * a + (1 - weight) * b for a, b in zip(limits(("lang", r["lang"]), c), limits(("script", r["script"]), c), strict=True))
+            more = quality.SHORT[c] / max(1, r["n_tokens"]) ** 0.5
+            kept = kept and lo - more <= r[c] <= hi + more
+        out.append((r["doc_id"], r["text"], kept))
+    return out
+
+
+def test_verdicts(spark, docs, table):
+    """kept of every document of a whole table by brute force, the same however its rows are dealt, and by quality_filter."""
+    paths = quality._paths(None)
+    for source in (docs, table(ODD + [(200 + i, " ".join(words(i, 60 + i)), "en" if i % 3 else None) for i in range(40)])):
+        local = source.select("doc_id", "lang", "text").collect()
+        found = quality.measured(pa.array([r["text"] for r in local], pa.string()), paths)
+        full = [r.asDict() | {c: v[k].as_py() for c, v in found.items()} for k, r in enumerate(local)]
+        want = plain_kept(full)
+        judged = lambda df: sorted((str(r["doc_id"]), r["n_words"], r["kept"]) for r in quality.judge(df).collect())
+        got = judged(source)
+        assert got == judged(source.repartition(7)) == sorted((str(i), len(WS.findall(t or "")), k) for i, t, k in want)
+        assert sorted(map(str, texts(quality.quality_filter(source)))) == sorted(str((i, t)) for i, t, k in want if k)
+
+
+def test_quality_keeps_clashing_columns(spark):
+    names = "doc n_tokens script kept own others weight language base_failed __kept".split()
+    data = [(k, " ".join(words(k, 80)), "en", *[f"{n}{k}" for n in names]) for k in range(30)]
+    source = spark.createDataFrame(data, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = quality.quality_filter(source)
+    assert kept.columns == source.columns and kept.count() > 0
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in kept.collect() for n in names)
+
+
 def test_limits_are_smooth(spark):
     def low(n):
-        rows = [("el", "GREEK", False, 0.8 + 0.001 * (i % 50), 0.05, 0.8) for i in range(n)] + [("ru", "CYRILLIC", False, 1.5, 0.01, 0.8)] * 300
-        own, others = quality.bands(spark.createDataFrame(rows, "lang string, script string, base_failed boolean, chars_per_token double, byte_share double, entropy_share double"))
-        row = own.where("__lang = 'el'").crossJoin(others.where("__script = 'GREEK'")).select(quality._mixed_limit("chars_per_token.lo")).first()
+        rows = [("el", "GREEK", False, 0.8 + 0.001 * (i % 50), 0.05, 0.8, 2.0) for i in range(n)] + [("ru", "CYRILLIC", False, 1.5, 0.01, 0.8, 2.0)] * 300
+        own, others = quality.bands(spark.createDataFrame(rows, "lang string, script string, base_failed boolean, chars_per_token double, byte_share double, entropy_share double, chars_per_word_token double"))
+        row = own.where("language = '=el'").crossJoin(others.where("script = 'GREEK'")).select(quality._mixed_limit("chars_per_token.lo")).first()
         return row[0]
 
     lows = [low(n) for n in (5, 50, 199, 200)]
@@ -423,6 +471,44 @@ def test_near_dup(table, docs):
     assert sorted(r["doc_id"] for r in near_dup.drop_near_duplicates(docs).collect()) == sorted(w[0] for w in want if w[3])
 
 
+def linked_rows(source, asked, shingle=3, percent=85):
+    """(doc_id, doc_id) of all links of the asked documents, by an index from shingle to documents; ids are different."""
+    sets, holders = {}, {}
+    for i, t in texts(source):
+        w = WS.findall((t or "").translate(LOWER))
+        sets[i] = {" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    out = set()
+    for i in sets:
+        if asked(i):
+            shared = Counter(j for x in sets[i] for j in holders[x])
+            out |= {(i, j) for j, both in shared.items() if j != i and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)}
+    return out
+
+
+def test_recall(spark):
+    """All links of every 20th document of a larger table, against all rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
+    links = linked_rows(docs, lambda i: i % 20 == 0)
+    assert links and all(group[a] == group[b] for a, b in links)
+
+
+def test_cells(spark, table, monkeypatch):
+    """Groups whose members are dealt over several blocks and pieces, and columns that clash with inner names."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "PIECE", 3)
+    base = words(33, 400, 5000)
+    made = [(700 + i, edited(base, i, 10 + 2 * (i % 12))) for i in range(60)]
+    source = table(made)
+    assert rows(near_dup.near_duplicates(source)) == plain_groups(source)
+    clash = source.select("*", *[F.lit(n).alias(n) for n in ("__set", "__key", "__doc", "component_id", "set_key", "count")])
+    kept = near_dup.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(g[0] for g in plain_groups(source) if g[3])
+    assert all(r[n] == n for r in kept.collect() for n in ("__set", "__key", "__doc", "count"))
+
+
 def test_near_dup_of_the_stage(spark, table):
     """Copies with one passage more, by either rule, and by a chain of both; op6 keeps its own rule."""
     a, b, c = words(23, 500, 5000), words(24, 300, 5000), words(26, 500, 5000)
@@ -621,8 +707,8 @@ def test_mix_keeps_clashing_columns(spark, monkeypatch):
     data = [(k, "a b c " * (k % 7), f"s{k % 3}", *[f"{n}{k}" for n in names]) for k in range(60)]
     source = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
     plain = rows(mixing.mix(source.select("doc_id", "text", "source")))
-    for most in (mixing.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
         mixed = mixing.mixed_documents(source)
         assert mixed.columns == source.columns and mixed.count() > 0
         assert all(r[n] == f"{n}{r['doc_id']}" for r in mixed.collect() for n in names)
