@@ -866,6 +866,80 @@ def test_licenses(table, docs):
     assert labels[801] == "copyright-notice,reserved" and labels[802] == "cc-by,cc-by-family" and labels[803] == "gpl,gpl-notice" and labels[804] == ""
 
 
+def example(template):
+    """A text that a template accepts: all optional words, the first of each choice, as many free words as may be."""
+    t = template
+    while (new := re.sub(r"<<optional>>((?:(?!<</?optional>>).)*)<</optional>>", r"\1", t, flags=re.S)) != t:
+        t = new
+    t = re.sub(r"<<one ([^|>]*)[^>]*>>", r"\1", t)
+    return re.sub(r"<<var (\d+)>>", lambda m: "some body " * (int(m[1]) // 2), t).split()
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_wordings(label):
+    """A whole wording is accepted, also with marks and capitals; not with a mandatory word changed, left out or put in."""
+    automata = licenses.compiled(licenses.TEMPLATES)
+    found = lambda w: {x for _, _, x in licenses.scan([y.encode() for y in w], automata)[1]}
+    good = example(licenses.TEMPLATES[label])
+    assert label in found(["before", *good, "after"])
+    assert label in found([x.decode() for x in licenses.alnum_words(("* " + ", ".join(good).upper() + ".").encode())])
+    mandatory = "".join(licenses._MARK.split(re.sub(r"<<optional>>.*<</optional>>", " ", licenses.TEMPLATES[label], flags=re.S))[::2]).split()
+    for at in {len(good) // 3, 2 * len(good) // 3, len(good) - 1}:
+        if good[at] in mandatory and good.count(good[at]) == 1:
+            assert label not in found([*good[:at], "zebra", *good[at + 1 :]])
+            assert label not in found([*good[:at], *good[at + 1 :]])
+
+
+def test_other_wordings_are_refused():
+    automata = licenses.compiled(licenses.TEMPLATES)
+    found = lambda t: {x for _, _, x in licenses.scan(licenses.alnum_words(t.encode()), automata)[1]}
+    mit = " ".join(example(licenses.TEMPLATES["mit"]))
+    assert found(mit) == {"mit", "mit-grant"}
+    assert found(mit.replace("the software is provided", "the software shall be used for good not evil the software is provided", 1)) == {"mit-grant"}
+    assert found("Licensed under the Apache License, Version 2.0 (the License); you may not do anything at all here") == {"apache-notice"}
+    three = " ".join(example(licenses.TEMPLATES["bsd-3-clause"]))
+    assert found(three) == {"bsd-3-clause", "bsd-grant"}
+    assert found(" ".join(example(licenses.TEMPLATES["bsd-2-clause"]))) == {"bsd-2-clause", "bsd-grant"}
+    assert found(three.replace("neither the name", "all advertising materials must display neither the name", 1)) == {"bsd-grant"}
+
+
+def plain_match(parts, w, at):
+    """Ends of all matches of nested lists (word, ("any", n), ("one", lists), ("opt", list)) from word `at` on, by recursion."""
+    if not parts:
+        return {at}
+    head, rest = parts[0], parts[1:]
+    if isinstance(head, str):
+        return plain_match(rest, w, at + 1) if at < len(w) and w[at] == head else set()
+    kind, of = head
+    if kind == "any":
+        return set().union(*(plain_match(rest, w, at + k) for k in range(of + 1) if at + k <= len(w)))
+    ways = of if kind == "one" else [[], of]
+    return set().union(*(plain_match(rest, w, end) for way in ways for end in plain_match(way, w, at)))
+
+
+def test_labels_by_brute_force():
+    """Random templates and texts over few words."""
+    r = random.Random(18)
+
+    def made(depth):
+        out = []
+        for _ in range(r.randrange(1, 4)):
+            k = r.random()
+            out.append(r.choice("abc") if k < 0.55 or depth > 1 else ("any", r.randrange(3)) if k < 0.65 else ("one", [[r.choice("abc") for _ in range(r.randrange(1, 3))] for _ in range(2)]) if k < 0.8 else ("opt", made(depth + 1)))
+        return out
+
+    def text(parts):
+        return " ".join(p if isinstance(p, str) else f"<<var {p[1]}>>" if p[0] == "any" else f"<<one {'|'.join(' '.join(x) for x in p[1])}>>" if p[0] == "one" else f"<<optional>> {text(p[1])} <</optional>>" for p in parts)
+
+    for _ in range(400):
+        parts = [r.choice("abc"), *made(0)]
+        automaton = licenses.Automaton(text(parts))
+        for _ in range(5):
+            w = [r.choice("abc") for _ in range(r.randrange(8))]
+            ends = {e for e in plain_match(parts, w, 0) if e > 0}
+            assert automaton.match([x.encode() for x in w], 0) == max(ends, default=None), (text(parts), w)
+
+
 def test_automaton():
     a = licenses.Automaton("start <<optional>>of the <<optional>>very<</optional>> thing<</optional>> by <<var 2>> until <<one a b|c>> end")
     match = lambda t: a.match(t.encode().split(), 0)
