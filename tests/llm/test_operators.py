@@ -90,6 +90,61 @@ def test_pii_method(docs):
         assert sum(s.split(":")[0] in pii.BASE for s in r["spans"].split(",") if s) == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"]
 
 
+def sentences(seed, n):
+    """(text, kind or None, start, end) of lines that share neither words nor formats' makers nor most cue words with the training lines."""
+    r = random.Random(seed)
+    num = lambda a, b: r.randint(a, b)
+    names = ["Marta Olsen", "J. Duval", "the new tenant", "Frau Becker", "nuestro vecino", "a reader from Leeds"]
+    ends = ["thanks a lot!", "bitte morgens.", "gracias por todo", "and nothing else", "before noon, please", ""]
+    good = {
+        "email_spelled": lambda: ("You can mail {n} under ", f"{r.choice(['info', 'k.brandt', 'sales22'])} (at) {r.choice(['baumarkt', 'city-hall'])} (dot) {r.choice(['de', 'org'])}"),
+        "phone_local": lambda: (r.choice(["Please call {n} on ", "Mein Handy, sagt {n}: ", "phone of {n} "]), r.choice([f"({num(200, 989)}) {num(200, 999)}-{num(1000, 9999)}", f"0{num(100, 999)} {num(100, 999)} {num(1000, 9999)}"])),
+        "ssn": lambda: ("The form of {n} has the number ", f"{num(100, 665)}-{num(10, 99)}-{num(1000, 9999)}"),
+        "iban": lambda: ("{n} transfers it to ", r.choice(["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"])),
+        "ipv6": lambda: ("{n} was seen at ", r.choice(["2001:db8:85a3:8d3:1319:8a2e:370:7348", "fe80:12::1ff:fe23:4567"])),
+        "birth_date": lambda: (r.choice(["{n}, born ", "geboren ist {n} am "]), r.choice([f"{num(1940, 2005)}-{num(10, 12)}-{num(10, 28)}", f"{num(10, 28)}.{num(10, 12)}.{num(1940, 2005)}"])),
+        "ip_spelled": lambda: ("{n} used ", f"{num(11, 250)}[.]{num(0, 250)}[.]{num(0, 250)}[.]{num(1, 250)}"),
+        "card_loose": lambda: ("Charge the visa of {n}: ", r.choice(["4111.1111.1111.1111", "5500_0000_0000_0004", "4012  8888  8888  1881"])),
+        "phone_intl": lambda: ("From abroad {n} has ", r.choice([f"0049 {num(30, 89)} {num(100, 999)} {num(1000, 9999)}", f"+43/{num(100, 999)}/{num(10000, 99999)}"])),
+    }
+    bad = [
+        lambda: f"build {num(1, 9)}.{num(1, 30)}.{num(10, 99)} is out", lambda: f"Aktenzeichen {num(100, 999)}-{num(100, 999)}-{num(1000, 9999)} liegt vor", lambda: f"we met at {num(1, 9)} at the corner shop",
+        lambda: f"the match on {num(10, 28)}.{num(10, 12)}.{num(2016, 2025)} was fun", lambda: f"tracking {num(1000, 9999)}-{num(1000, 9999)}-{num(1000, 9999)}-{num(1000, 9999)}", lambda: f"it took {num(10, 23)}:{num(10, 59)}:{num(10, 59)} in all",
+        lambda: f"sold {num(10, 99)} {num(100, 999)} {num(100, 999)} of them", lambda: f"ISBN {num(100, 999)}-{num(10, 99)}-{num(10000, 99999)}", lambda: f"GB{num(10, 99)} {num(1000, 9999)} {num(1000, 9999)} {num(1000, 9999)} is a part", lambda: f"EAN {num(10**12, 10**13 - 1)}",
+    ]
+    out = []
+    for _ in range(n):
+        if r.random() < 0.5:
+            kind = r.choice(list(good))
+            lead, span = good[kind]()
+            lead = lead.format(n=r.choice(names))
+            out.append((f"{lead}{span} {r.choice(ends)}", kind, len(lead), len(lead) + len(span)))
+        else:
+            out.append((f"{r.choice(names)} said {r.choice(bad)()}, {r.choice(ends)}", None, 0, 0))
+    return out
+
+
+def test_pii_on_other_lines():
+    """Recall of the generators, and precision and recall of what is accepted, on lines of another making."""
+    model, limits = pii.trained()
+    assert set(limits) == set(pii.KINDS[4:]) and len({round(v, 3) for v in limits.values()}) > 4
+    lines = sentences(5, 1500)
+    proposed = sum(any(a == s and b >= e and k == kind for a, b, k in pii.candidates(t)) for t, kind, s, e in lines if kind)
+    found = [more for _, more in pii.all_spans([t for t, *_ in lines], model, limits)]
+    n = sum(kind is not None for _, kind, _, _ in lines)
+    right = sum((s, kind) in {(a, k) for a, _, k in spans} for (_, kind, s, _), spans in zip(lines, found, strict=True) if kind)
+    every = sum(map(len, found))
+    print(f"proposed {proposed / n:.3f} precision {right / every:.3f} recall {right / n:.3f}", {k: round(v, 3) for k, v in limits.items()})
+    assert proposed / n > 0.97 and right / every > 0.9 and right / n > 0.75
+
+
+def test_pii_threshold():
+    scores, labels = np.array([0.9, 0.8, 0.8, 0.3, 0.1]), np.array([1.0, 1.0, 1.0, 1.0, 0.0])
+    assert pii.threshold(scores, labels, 0.95) == 0.3 and pii.threshold(scores, labels, 0.8) == 0.1
+    with pytest.raises(ValueError):
+        pii.threshold(scores, 0 * labels, 0.95)
+
+
 def test_redact(table):
     got = {r["doc_id"]: r["text"] for r in pii.redact(table([(1, None), (2, "to a@b.co now"), (3, "")])).collect()}
     assert got == {1: None, 2: "to <email> now", 3: ""}
