@@ -27,18 +27,29 @@ def with_positions(run: DataFrame, key: str = "k") -> DataFrame:
     return ranged.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn("pos", F.col("__before") + F.col("__inside") - 1).drop("__range", "__inside", "__before")
 
 
+def floor_div(value: Column, by: int) -> Column:
+    """Whole division downwards of longs by a positive number; no step goes through doubles or overflows."""
+    value = value.cast("long")
+    return F.call_function("div", value, F.lit(by).cast("long")) - F.when((value < 0) & (value % F.lit(by) != 0), 1).otherwise(0)
+
+
+def ceil_div(value: Column, by: int) -> Column:
+    value = value.cast("long")
+    return F.call_function("div", value, F.lit(by).cast("long")) + F.when((value > 0) & (value % F.lit(by) != 0), 1).otherwise(0)
+
+
 def page_of(pos: Column, config: StoreConfig = StoreConfig()) -> Column:
-    return F.floor(pos / F.lit(float(config.page_rows))).cast("long")
+    return floor_div(pos, config.page_rows)
 
 
 def node_of(pos: Column, config: StoreConfig = StoreConfig()) -> Column:
-    return F.floor(pos / F.lit(float(config.node_rows))).cast("long")
+    return floor_div(pos, config.node_rows)
 
 
 def pages_for(rows: Column, config: StoreConfig = StoreConfig()) -> Column:
-    return F.ceil(rows / F.lit(float(config.page_rows))).cast("long")
+    return ceil_div(rows, config.page_rows)
 
 
 def levels(leaves: Column, config: StoreConfig = StoreConfig()) -> Column:
     """Pages of the level above."""
-    return F.ceil(leaves / F.lit(float(config.page_children))).cast("long")
+    return ceil_div(leaves, config.page_children)

@@ -7,6 +7,9 @@ the public MurmurHash2 and MurmurHash3, specialised to the eight little-endian b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -85,10 +88,11 @@ def murmur2(keys: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> U32(15))
 
 
-def _function(kind: str, compute) -> object:
-    """A Column function of (key, seed); null keys give null."""
+def _function(kind: str, compute: Callable) -> Callable[[Column, int], Column]:
+    """A Column function of (key, seed), made once for each seed; null keys give null."""
 
-    def make(key: Column, seed: int) -> Column:
+    @cache
+    def made(seed: int) -> Callable[[Column], Column]:
         @F.pandas_udf(kind)
         def hashed(keys: pd.Series) -> pd.Series:
             here = keys.notna().to_numpy()
@@ -96,13 +100,14 @@ def _function(kind: str, compute) -> object:
             out[:] = compute(keys.fillna(0).to_numpy(np.int64), seed).astype(np.int64)
             return out.where(pd.Series(here), other=pd.NA)
 
-        return hashed(key.cast("long"))
+        return hashed
 
-    return make
+    return lambda key, seed: made(seed)(key.cast("long"))
 
 
 #: First 64 bits of MurmurHash3 x64-128, as a signed long.
 murmur3_64 = _function("long", lambda k, s: murmur3_x64(k, s)[0].view(np.int64))
-#: 32-bit hashes as non-negative longs.
+#: 32-bit hashes as non-negative longs; of MurmurHash3 x86-128 the word of that number.
 murmur3_32 = _function("long", murmur3_x86_32)
 murmur2_32 = _function("long", murmur2)
+murmur3_128_words = [_function("long", lambda k, s, word=word: murmur3_x86_128(k, s)[word]) for word in range(4)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import pages_for
+from ..functions.geometry import floor_div, pages_for
 from ..sources.config import StoreConfig
 
 
@@ -35,7 +35,7 @@ def overlapping_children(pivots: list[int], low: int, high: int) -> list[int]:
 
 def children(rows: DataFrame, width: int, key: str = "k", config: StoreConfig = StoreConfig()) -> DataFrame:
     """child, n, pages: rows by key range of `width`."""
-    by = F.floor(F.col(key) / F.lit(float(width))).cast("long").alias("child")
+    by = floor_div(F.col(key), width).alias("child")
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).withColumn("pages", pages_for(F.col("n"), config))
 
 
@@ -52,8 +52,8 @@ def largest_oversized(kids: DataFrame, config: StoreConfig = StoreConfig()) -> D
 
 def sampled_oversized(kids: DataFrame, share: float, seed: int, config: StoreConfig = StoreConfig()) -> DataFrame:
     """A seeded share of them, decided by the child's number, so that a retry decides alike."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), "child"), F.lit(1_000_000))
-    return oversized(kids, config).where(draw < F.lit(int(share * 1_000_000)))
+    draw = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("child").cast("string"))), 1, 8)
+    return oversized(kids, config).where(draw < F.lit(f"{int(share * (1 << 32)):08x}"))
 
 
 def push_down_prefix(run: DataFrame, config: StoreConfig = StoreConfig()) -> DataFrame:
@@ -63,7 +63,7 @@ def push_down_prefix(run: DataFrame, config: StoreConfig = StoreConfig()) -> Dat
 
 def median_key(run: DataFrame) -> DataFrame:
     """split_key: the key at the middle position of a run with positions."""
-    return run.where(F.col("pos") == F.floor(F.col("n") / 2.0).cast("long")).select(F.col("k").alias("split_key"))
+    return run.where(F.col("pos") == floor_div(F.col("n"), 2)).select(F.col("k").alias("split_key"))
 
 
 def split_pivots(pivots: list[int], fanout: int) -> tuple[list[int], int, list[int]] | None:
@@ -81,10 +81,10 @@ def merge_pages(kids: DataFrame, config: StoreConfig = StoreConfig()) -> DataFra
 
 def merge_seconds(pages: Column, config: StoreConfig = StoreConfig()) -> Column:
     """Whole seconds of disk time."""
-    return F.floor(pages * config.rnode_size / F.lit(float(config.bytes_per_second))).cast("long")
+    return floor_div(pages * config.rnode_size, config.bytes_per_second)
 
 
 def insert_delay(pages: Column, epoch_rows: int, config: StoreConfig = StoreConfig(), free_slots: int | None = None) -> Column:
     """Microseconds to wait for each insert while a merge runs; more where few slots of the buffer are free."""
-    wait = F.floor(merge_seconds(pages, config) * 1_000_000 / F.lit(float(epoch_rows))).cast("long") + 5
+    wait = floor_div(merge_seconds(pages, config) * 1_000_000, epoch_rows) + 5
     return wait if free_slots is None else wait + F.lit(200 // (free_slots // 5 + 1))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import floor_div
+
 #: Which insert of a key's newest epoch counts: the last, or the first (later ones of the epoch are ignored).
 MODES = {"latest": F.max, "reference": F.min}
 
@@ -68,21 +70,57 @@ def range_latest(log: DataFrame, low: int, high: int, mode: str = "latest") -> D
     return latest(log.where(within(low, high)), mode)
 
 
-def multi_range(ranges: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(low, high) with every key of `rows` in it; ranges without one are left out.
-
-    An equi-join on cells of `width` keys: a range is listed in the cells that it touches, a key
-    in its own. A width near the ranges' length keeps both sides small.
-    """
-    cell = lambda c: F.floor(F.col(c) / F.lit(width))
-    listed = ranges.where(F.col("low") <= F.col("high")).withColumn("cell", F.explode(F.sequence(cell("low"), cell("high"))))
-    return listed.join(rows.withColumn("cell", cell("k")), "cell").where(F.col("k").between(F.col("low"), F.col("high"))).drop("cell")
-
-
-def multi_range_counts(ranges: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """low, high, n: keys in each range, 0 where there is none."""
-    found = multi_range(ranges, rows.select("k"), width).groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"))
-    return ranges.select("low", "high").distinct().join(found, ["low", "high"], "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+#: Cells that a range is listed in at most, but for the one at its end; a level's cells are as many times as wide as those below.
+SPAN = 16
+
+
+def _listed(ranges: DataFrame, width: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Ranges with level and cell, a row for each cell, and the levels that occur, each with its cells' width.
+
+    A range stands on the lowest level at which SPAN cells hold it, so a wide one has as few cells as a narrow one."""
+    widths = [width]
+    while widths[-1] <= (1 << 62) // SPAN:
+        widths.append(widths[-1] * SPAN)
+    widths.append(1 << 62)
+    wide = lambda c, w: floor_div(F.col(c), w).cast("decimal(20,0)")
+    level = F.coalesce(*[F.when(wide("high", w) - wide("low", w) < SPAN, k) for k, w in enumerate(widths)])
+    told = ranges.where(F.col("low") <= F.col("high")).distinct().withColumn("level", level)
+    used = sorted(r["level"] for r in told.select("level").distinct().collect())  # as many as levels at most
+    cell = lambda c: F.coalesce(*[F.when(F.col("level") == k, floor_div(F.col(c), widths[k])) for k in used]) if used else F.lit(0)
+    return told.withColumn("cell", F.explode(F.sequence(cell("low"), cell("high")))), [(k, widths[k]) for k in used]
+
+
+def _celled(rows: DataFrame, levels: list[tuple[int, int]]) -> DataFrame:
+    """A row for each level that ranges use, with the row's cell there."""
+    places = F.array(*[F.struct(F.lit(k).alias("level"), floor_div(F.col("k"), w).alias("cell")) for k, w in levels])
+    return rows.withColumn("x", F.explode(places)).select(*rows.columns, "x.level", "x.cell")
+
+
+def multi_range(ranges: DataFrame, rows: DataFrame, width: int = 1024) -> DataFrame:
+    """(low, high) with every key of `rows` in it; ranges without one are left out, repeated ranges count once.
+
+    An equi-join on cells of keys, of `width` keys or, for wide ranges, of more; ranges may be as wide as the keys' domain."""
+    listed, levels = _listed(ranges.select("low", "high"), width)
+    if not levels:
+        return ranges.select("low", "high").join(rows, F.lit(False))
+    inside = F.col("k").between(F.col("low"), F.col("high"))
+    return listed.join(_celled(rows, levels), ["level", "cell"]).where(inside).drop("level", "cell")
+
+
+def multi_range_counts(ranges: DataFrame, rows: DataFrame, width: int = 1024) -> DataFrame:
+    """low, high, n: keys in each range, 0 where there is none. Cells that lie whole in a range are counted once for all ranges."""
+    listed, levels = _listed(ranges.select("low", "high"), width)
+    wanted = ranges.select("low", "high").distinct()
+    if not levels:
+        return wanted.withColumn("n", F.lit(0).cast("long"))
+    edge = F.coalesce(*[F.when(F.col("level") == k, (F.col("cell") == floor_div(F.col("low"), w)) | (F.col("cell") == floor_div(F.col("high"), w))) for k, w in levels])
+    listed = listed.withColumn("edge", edge)
+    keys = _celled(rows.select("k"), levels)
+    ends = listed.where("edge").join(keys, ["level", "cell"]).where(F.col("k").between(F.col("low"), F.col("high"))).groupBy("low", "high").agg(F.count(F.lit(1)).alias("n"))
+    cells = keys.groupBy("level", "cell").agg(F.count(F.lit(1)).alias("n"))
+    inner = listed.where(~F.col("edge")).join(cells, ["level", "cell"]).groupBy("low", "high").agg(F.sum("n").alias("n"))
+    found = ends.unionByName(inner).groupBy("low", "high").agg(F.sum("n").alias("n"))
+    return wanted.join(found, ["low", "high"], "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def as_of(log: DataFrame, epoch: int, mode: str = "latest") -> DataFrame:

@@ -46,4 +46,5 @@ def parquet_options(n: int, config: StoreConfig = StoreConfig(), key: str = "k")
     """Writer options for Parquet's Bloom filter on the key, which its reader uses to skip row groups."""
     if not config.use_bloom_filters:
         return {}
-    return {f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.expected.ndv#{key}": str(max(1, n)), f"parquet.bloom.filter.fpp#{key}": f"{config.bloom_error:.6f}"}
+    # adaptive: files with fewer keys get smaller filters
+    return {"parquet.bloom.filter.adaptive.enabled": "true", f"parquet.bloom.filter.enabled#{key}": "true", f"parquet.bloom.filter.expected.ndv#{key}": str(max(1, n)), f"parquet.bloom.filter.fpp#{key}": f"{config.bloom_error:.6f}"}

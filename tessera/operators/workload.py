@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lookup import multi_get, multi_range_counts
 
+if TYPE_CHECKING:
+    from ..plans.store import Store
+
 
 @dataclass(frozen=True)
 class Workload:
@@ -32,9 +37,10 @@ class Workload:
     seed: int = 1
 
 
-def _uniform(salt: int, seed: int) -> Column:
+def _uniform(salt: int, seed: int, of: Column | None = None) -> Column:
     """A number in [0, 1) from the operation's number, so that retries and partitions don't matter."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "op_no"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = F.md5(F.concat(F.lit(f"{seed}:{salt}:"), (F.col("op_no") if of is None else of).cast("string")))
+    return F.conv(F.substring(drawn, 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))
 
 
 def zipf_key(u: Column, max_key: int, exponent: float = 1.0) -> Column:
@@ -59,7 +65,9 @@ def operations(spark: SparkSession, work: Workload, first: int = 0) -> DataFrame
     if not work.perform_query:
         insertion = F.lit(True)
     uniform = F.floor(_uniform(1, work.seed) * work.max_key).cast("long")
-    asked = zipf_key(_uniform(1, work.seed), work.max_key) if work.zipfian_query else uniform
+    # queries ask for `total_queries` keys, one after the other, or each for one of its own
+    drawn = _uniform(1, work.seed, F.col("op_no") % work.total_queries if work.total_queries else None)
+    asked = zipf_key(drawn, work.max_key) if work.zipfian_query else F.floor(drawn * work.max_key).cast("long")
     ranged = ~insertion & (_uniform(2, work.seed) < 0.5)
     key = F.when(insertion, uniform).otherwise(asked)
     return rows.select(
@@ -79,3 +87,40 @@ def answers(ops: DataFrame, rows: DataFrame, width: int = 1024) -> DataFrame:
     ranges = ops.where("is_range").select("op_no", F.col("key").alias("low"), "high")
     counts = multi_range_counts(ranges, rows, width)
     return found.unionByName(ranges.join(counts, ["low", "high"]).select("op_no", "n"))
+
+
+@dataclass
+class Execution:
+    """answers: op_no, n of every query. stats: a row for each batch of operations."""
+
+    answers: DataFrame
+    stats: DataFrame
+
+
+_STATS = "first_op long, inserts long, queries long, insert_seconds double, query_seconds double, inserts_per_second double, pages_read long"
+
+
+def execute(store: Store, work: Workload, width: int = 1024) -> Execution:
+    """Run a workload against a store, `measure_freq` operations at a time (all at once, if 0): its queries see the inserts of the
+    batches before theirs; then its inserts become an epoch, no faster than `insert_per_second`. Times and rates are told if asked for."""
+    spark, every = store.spark, work.measure_freq or work.no_ops
+    stats, found = [], None
+    for first in range(0, work.no_ops, every):
+        ops = operations(spark, work).where((F.col("op_no") >= first) & (F.col("op_no") < first + every)).persist()
+        began = time.time()
+        low, high, queries = ops.where("is_query").agg(F.min("key"), F.max(F.coalesce("high", "key")), F.count(F.lit(1))).first()
+        pages = sum(r["n_pages"] for r in store.touched(low, high)) if queries else 0
+        told = spark.createDataFrame(answers(ops, store.latest(), width).collect(), "op_no long, n long")  # a row for each query of the batch
+        found = told if found is None else found.unionByName(told)
+        asked, added = time.time(), ops.where("is_insertion").count()
+        if added:
+            store.ingest(inserts(ops))
+            store.maintain()
+        if work.insert_per_second:
+            time.sleep(max(0.0, added / work.insert_per_second - (time.time() - asked)))
+        took = time.time() - asked
+        stats.append((first, added, queries, took if work.measure_insertion_time else None, asked - began, added / took if work.measure_insertion_rate else None, pages))
+        ops.unpersist()
+        if work.print_query_result:
+            told.show(truncate=False)
+    return Execution(found if found is not None else spark.createDataFrame([], "op_no long, n long"), spark.createDataFrame(stats, _STATS))

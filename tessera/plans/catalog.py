@@ -180,7 +180,7 @@ def largest_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.largest_oversized(_kids(spark, sf_dir))
 
 
-@query(None)
+@query(f"select child, n, pages from {KIDS} c where pages > 4 and substr(md5('1:' || child), 1, 8) < '80000000'")
 def sampled_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.sampled_oversized(_kids(spark, sf_dir), 0.5, 1)
 
@@ -234,8 +234,8 @@ def pointer_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 _M = "18446744073709551616"
 
 
-def _murmur_sql(seed: int) -> str:
-    """MurmurHash3 x64-128 of a non-negative 8-byte key in 128-bit arithmetic; the first half, unsigned."""
+def _murmur_sql(seed: int, keys: str = "select o_orderkey k from orders") -> str:
+    """MurmurHash3 x64-128 of a non-negative 8-byte key in 128-bit arithmetic: k, h (the first half, unsigned)."""
     wide = lambda x, c: f"((({x}) % 4294967296 * {c % 2**32}::UHUGEINT + ((({x}) % 4294967296 * {c >> 32}::UHUGEINT + ({x}) // 4294967296 * {c % 2**32}::UHUGEINT) % 4294967296) * 4294967296::UHUGEINT) % {_M}::UHUGEINT)"
     mix = lambda x: f"xor({x}, {x} // 8589934592::UHUGEINT)"
     steps = [
@@ -248,18 +248,102 @@ def _murmur_sql(seed: int) -> str:
     ]
     for s in ("s1", "s2"):
         steps += [(f"{s}x", mix(s)), (f"{s}y", wide(f"{s}x", 0xFF51AFD7ED558CCD)), (f"{s}z", mix(f"{s}y")), (f"{s}u", wide(f"{s}z", 0xC4CEB9FE1A85EC53)), (f"{s}f", mix(f"{s}u"))]
-    sql = "select o_orderkey k from orders"
+    sql = keys
     for name, expression in steps:
         sql = f"select *, {expression} {name} from ({sql}) t"
-    return f"select k, lower(lpad(to_hex(((s1f + s2f) % {_M}::UHUGEINT)::UBIGINT), 16, '0')) h from ({sql}) t"
+    return f"select k, (s1f + s2f) % {_M}::UHUGEINT h from ({sql}) t"
+
+
+def _staged(keys: str, steps: list[tuple[str, str]], result: str) -> str:
+    """Steps of 32-bit arithmetic, one select each, from k and its halves lo and hi."""
+    sql = f"select k, k % 4294967296 lo, k // 4294967296 hi from ({keys}) t"
+    for name, expression in steps:
+        sql = f"select *, {expression} {name} from ({sql}) t"
+    return f"select k, {result} from ({sql}) t"
+
+
+_times = lambda x, c: f"(({x})::hugeint * {c} % 4294967296)::bigint"
+_turned = lambda x, by: f"((({x})::bigint * {1 << by}) % 4294967296 + ({x}) // {1 << (32 - by)})"
+
+
+def _final32_sql(x: str, name: str) -> list[tuple[str, str]]:
+    steps, at = [], x
+    for k, (shift, factor) in enumerate(((16, 0x85EBCA6B), (13, 0xC2B2AE35))):
+        steps += [(f"{name}{k}a", f"xor({at}, {at} // {1 << shift})"), (f"{name}{k}b", _times(f"{name}{k}a", factor))]
+        at = f"{name}{k}b"
+    return [*steps, (name, f"xor({at}, {at} // 65536)")]
+
+
+def _murmur3_32_sql(seed: int, keys: str) -> str:
+    steps, h = [], str(seed)
+    for part in ("lo", "hi"):
+        steps += [(f"{part}1", _times(part, 0xCC9E2D51)), (f"{part}2", _turned(f"{part}1", 15)), (f"{part}3", _times(f"{part}2", 0x1B873593)), (f"{part}4", f"xor({h}::bigint, {part}3)")]
+        steps += [(f"{part}5", _turned(f"{part}4", 13)), (f"{part}6", f"(({part}5 * 5 + {0xE6546B64}) % 4294967296)")]
+        h = f"{part}6"
+    return _staged(keys, [*steps, ("g", f"xor({h}, 8)"), *_final32_sql("g", "f")], "f h")
+
+
+def _murmur2_sql(seed: int, keys: str) -> str:
+    m, steps, h = 0x5BD1E995, [], str(seed ^ 8)
+    for part in ("lo", "hi"):
+        steps += [(f"{part}1", _times(part, m)), (f"{part}2", f"xor({part}1, {part}1 // 16777216)"), (f"{part}3", _times(f"{part}2", m)), (f"{part}4", f"xor({_times(h, m)}, {part}3)")]
+        h = f"{part}4"
+    steps += [("x", f"xor({h}, {h} // 8192)"), ("y", _times("x", m)), ("z", "xor(y, y // 32768)")]
+    return _staged(keys, steps, "z h")
+
+
+def _murmur3_128_sql(seed: int, keys: str) -> str:
+    """All four 32-bit words of x86-128; an 8-byte key has bytes for the first two."""
+    factors = (0x239B961B, 0xAB0E9789, 0x38B34AE5, 0xA1E38B93)
+    steps = []
+    for k, (part, turn) in enumerate((("lo", 15), ("hi", 16))):
+        steps += [(f"m{k}", _times(part, factors[k])), (f"t{k}", _turned(f"m{k}", turn)), (f"a{k}", f"xor(xor({seed}::bigint, {_times(f't{k}', factors[k + 1])}), 8)")]
+    steps += [(f"a{k}", f"xor({seed}::bigint, 8)") for k in (2, 3)]
+    steps += [("b0", "((a0 + a1 + a2 + a3) % 4294967296)"), *((f"b{k}", f"((a{k} + b0) % 4294967296)") for k in (1, 2, 3))]
+    for k in range(4):
+        steps += _final32_sql(f"b{k}", f"c{k}")
+    steps += [("d0", "((c0 + c1 + c2 + c3) % 4294967296)"), *((f"d{k}", f"((c{k} + d0) % 4294967296)") for k in (1, 2, 3))]
+    return _staged(keys, steps, "d0 h1, d1 h2, d2 h3, d3 h4")
+
+
+#: Order keys, and numbers beyond 32 bits made of them.
+_KEYS = "select o_orderkey * 1000003 k from orders"
+
+
+def _wide_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_run(spark, sf_dir).select((F.col("k") * 1000003).alias("k"))
+
+
+@query(_murmur3_32_sql(hashing.SEEDS[0], _KEYS))
+def murmur3_x86_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_keys(spark, sf_dir).select("k", hashing.murmur3_32(F.col("k"), hashing.SEEDS[0]).alias("h"))
+
+
+@query(_murmur2_sql(hashing.SEEDS[1], _KEYS))
+def murmur2_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_keys(spark, sf_dir).select("k", hashing.murmur2_32(F.col("k"), hashing.SEEDS[1]).alias("h"))
+
+
+@query(_murmur3_128_sql(hashing.SEEDS[0], _KEYS))
+def murmur3_x86_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_keys(spark, sf_dir).select("k", *[h(F.col("k"), hashing.SEEDS[0]).alias(f"h{n + 1}") for n, h in enumerate(hashing.murmur3_128_words)])
+
 
+def _maybe_sql(probes: str) -> str:
+    """k, maybe: double hashing of the filter over all order keys, with 7 bits a key and 5 hashes."""
+    size = "(select greatest(8, count(*) * 7) from orders)::UHUGEINT"
+    both = lambda keys: f"select a.k, a.h % {size} one, b.h % {size} two from ({_murmur_sql(hashing.SEEDS[0], keys)}) a join ({_murmur_sql(hashing.SEEDS[1], keys)}) b on a.k = b.k"
+    bits = lambda keys: f"select k, i, (one + i::UHUGEINT * two) % {size} bit from ({both(keys)}) t, unnest(range(0, 5)) u(i)"
+    held = f"select distinct bit, 1 hit from ({bits('select o_orderkey k from orders')}) t"
+    return f"select p.k, count(hit) = count(*) maybe from ({bits(probes)}) p left join ({held}) s on p.bit = s.bit group by p.k"
 
-@query(_murmur_sql(hashing.SEEDS[0]))
+
+@query("select k, lower(lpad(to_hex(h::UBIGINT), 16, '0')) h from (" + _murmur_sql(hashing.SEEDS[0]) + ") t")
 def murmur3_x64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_run(spark, sf_dir).select("k", F.lower(F.lpad(F.hex(hashing.murmur3_64(F.col("k"), hashing.SEEDS[0])), 16, "0")).alias("h"))
 
 
-@query("select cast(0 as bigint) false_negatives")
+@query(f"select count(*) - count(case when maybe then 1 end) false_negatives from ({_maybe_sql('select o_orderkey k from orders')}) t")
 def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = order_run(spark, sf_dir)
     bits, hashes = membership.sized(run.count())
@@ -267,7 +351,7 @@ def bloom_no_false_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.lookup_counters(probed, run).select("false_negatives")
 
 
-@query(None)
+@query(f"select count(*) searches, count(case when maybe then 1 end) false_positives, cast(0 as bigint) false_negatives from ({_maybe_sql('select o_orderkey + 1099511627776 k from orders')}) t")
 def bloom_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = order_run(spark, sf_dir)
     bits, hashes = membership.sized(run.count())
@@ -325,6 +409,77 @@ def stream_ingest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest().select("k", "v")
 
 
+@query(f"select k, v from {NEWEST.format(log='(select user_id k, event_id seq, 0 epoch, cast(round(value * 100) as int) v from events)')} x union all select o_orderkey + 1000000 k, cast(o_custkey as int) v from orders")
+def stream_after_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream into a store that batches were written to before."""
+    store = Store(spark, new_path(spark, "stream-after"), CONFIG)
+    run = order_run(spark, sf_dir).select(F.col("k").alias("seq"), (F.col("k") + 1_000_000).alias("k"), "v", F.lit(None).cast("binary").alias("payload"))
+    for part in range(2):
+        store.ingest(run.where(F.col("seq") % 2 == part))
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    inserts = stream.select(F.col("event_id").alias("seq"), F.col("user_id").alias("k"), F.round(F.col("value") * 100).cast("int").alias("v"), F.col("props").cast("binary").alias("payload"))
+    ingest.start(inserts, store, new_path(spark, "stream-checkpoint")).awaitTermination()
+    return store.latest().select("k", "v")
+
+
+def _order_store(spark: SparkSession, sf_dir: str, share: int, config: StoreConfig = CONFIG) -> Store:
+    """All orders in one node of level 1; a node holds one in `share` of them."""
+    run = order_run(spark, sf_dir).select(F.col("k").alias("seq"), "k", "v", F.lit(None).cast("binary").alias("payload"))
+    store = Store(spark, new_path(spark, "order-store"), config, node_rows=run.count() // share)
+    store.ingest(run)
+    store.compact()
+    return store
+
+
+_NODES = ("level", "n_rows", "min_k", "max_k", "consumed_upto")
+_HALVES = f"(select * from {RUN} r where pos <= n // 2) a", f"(select * from {RUN} r where pos > n // 2) b"
+
+
+@query(
+    f"select cast(1 as int) level, n n_rows, 0 + min(k) min_k, max(k) max_k, max(case when pos < 2 * (n // 10) then k end) consumed_upto from {RUN} r group by n "
+    f"union all select cast(2 as int), count(*), min(k), max(k), cast(null as bigint) from {RUN} r where pos < 2 * (n // 10)"
+)
+def store_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node far too large moves its first records into a new level, and remembers how far."""
+    store = _order_store(spark, sf_dir, 10)
+    store.push_down(store.runs()[0])
+    return store.manifest().select(*_NODES)
+
+
+@query(f"select k, v from {RUN} r")
+def store_pushdown_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads are the same while a node is partly moved down."""
+    store = _order_store(spark, sf_dir, 10)
+    store.push_down(store.runs()[0])
+    store.push_down(next(r for r in store.runs() if r["level"] == 1))
+    return store.latest().select("k", "v")
+
+
+@query(" union all ".join(f"select cast(1 as int) level, count(*) n_rows, min(k) min_k, max(k) max_k, cast(null as bigint) consumed_upto from {half}" for half in _HALVES))
+def store_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node that is too large is split at its median record."""
+    store = _order_store(spark, sf_dir, 2, StoreConfig(fanout=2))
+    store.maintain()
+    return store.manifest().select(*_NODES)
+
+
+@query(f"select count(*) n_rows, min(k) min_k, max(k) max_k from {_HALVES[0]}")
+def store_policy_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two nodes that are too large, the policy takes the larger."""
+    store = _order_store(spark, sf_dir, 4, StoreConfig(fanout=2, only_largest=True))
+    store.split(store.runs()[0], store._median(store.runs()[0]))
+    names = [r["run_id"] for r in store.oversized(1)]
+    return store.manifest().where(F.col("run_id").isin(names)).select("n_rows", "min_k", "max_k")
+
+
+@query("select lo low, hi high, count(o_orderkey) n from (values (-9223372036854775807, 9223372036854775807), (-1000000000000, 77), (100, 5000000000000000000)) r(lo, hi) left join orders on o_orderkey between lo and hi group by lo, hi")
+def multi_range_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges far beyond the keys."""
+    ranges = spark.createDataFrame([(-(2**63) + 1, 2**63 - 1), (-(10**12), 77), (100, 5 * 10**18)], "low long, high long")
+    return lookup.multi_range_counts(ranges, order_run(spark, sf_dir), 64)
+
+
 @query("select date_trunc('hour', ts) w, count(*) n from events group by 1")
 def insert_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.insert_rate(table(spark, sf_dir, "events"))

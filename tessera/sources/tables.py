@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import floor_div
 from ..schema import OPERATION
 from .config import StoreConfig
 
@@ -15,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_epochs(inserts: DataFrame, config: StoreConfig = StoreConfig()) -> DataFrame:
     """An insert log cut by size: a memtable is frozen after as many inserts as fill its budget."""
-    return inserts.withColumn("epoch", F.floor(F.col("seq") / F.lit(float(config.epoch_rows))).cast("long"))
+    return inserts.withColumn("epoch", floor_div(F.col("seq"), config.epoch_rows))
 
 
 def event_log(spark: SparkSession, sf_dir: str, config: StoreConfig = StoreConfig()) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import codec, hashing
-from tessera.functions.geometry import with_positions
+from tessera.functions.geometry import ceil_div, floor_div, with_positions
 from tessera.operators import compaction, lookup, membership, statistics, workload
 from tessera.plans.shared import new_path
 from tessera.plans.store import Store
@@ -49,6 +49,9 @@ def test_point_and_ranges(spark, log):
     assert rows_of(lookup.range_bag(log, 0, 10)) == [(0, 7), (1, 7), (2, 9)]
     ranges = spark.createDataFrame([(-5, 7), (8, 9), (9, 8), (100, 200)], "low long, high long")
     for width in (1, 3, 1000):
+        whole = spark.createDataFrame([(-BIG - 1, BIG), (-BIG - 1, -1), (BIG, BIG), (-(10**12), 10**15), (0, 1 << 40)], "low long, high long")
+        assert rows_of(lookup.multi_range_counts(whole, view, width)) == sorted([(-BIG - 1, BIG, 5), (-BIG - 1, -1, 2), (BIG, BIG, 1), (-(10**12), 10**15, 3), (0, 1 << 40, 2)])
+        assert lookup.multi_range(whole, view, width).count() == 13
         assert rows_of(lookup.multi_range_counts(ranges, view, width)) == [(-5, 7, 2), (8, 9, 1), (9, 8, 0), (100, 200, 0)]
 
 
@@ -90,7 +93,7 @@ def test_store_against_model(spark, mode):
         store.compact()
     while store.compact(0):
         pass
-    store.vacuum()
+    store.vacuum(0)
     assert pairs(store.pin()) == model
     store.unpin()
     assert pairs(store.latest()) == model and len(store.versions()) == 1
@@ -98,6 +101,106 @@ def test_store_against_model(spark, mode):
         store.as_of(0)
 
 
+def test_multi_range_random(spark):
+    r = random.Random(6)
+    keys = [r.randrange(-(10 ** r.randrange(1, 18)), 10 ** r.randrange(1, 18)) for _ in range(400)]
+    view = spark.createDataFrame([(k, 0) for k in set(keys)], "k long, v int")
+    asked = {tuple(sorted((r.choice(keys) + r.randrange(-3, 4), r.choice(keys)))) for _ in range(80)}
+    got = rows_of(lookup.multi_range_counts(spark.createDataFrame(sorted(asked), "low long, high long"), view, 7))
+    assert got == sorted((a, b, sum(a <= k <= b for k in set(keys))) for a, b in asked)
+
+
+@pytest.mark.parametrize("policy", ["all", "largest", "drawn"])
+def test_tree_of_nodes(spark, policy):
+    """Small nodes: moves, resumed moves, splits at medians and over the fanout; reads equal a dict's all along."""
+    r = random.Random(9)
+    config = StoreConfig(fanout=2, only_largest=policy == "largest", probablistic_merge=policy == "drawn")
+    store = Store(spark, new_path(spark, "tree"), config, node_rows=25)
+    model, seq = {}, 0
+    pairs = lambda df: {x["k"]: x["v"] for x in df.collect()}
+    for step in range(6):
+        batch = []
+        for _ in range(60):
+            batch.append((seq, r.randint(-100, 400) if step else seq * 3 - 100, r.randint(0, 1000), None))
+            seq += 1
+        model |= {k: v for _, k, v, _ in batch}
+        store.ingest(spark.createDataFrame(batch, "seq long, k long, v int, payload binary"))
+        store.maintain()
+        runs = store.runs()
+        for level in {x["level"] for x in runs} - {0}:
+            nodes = store._nodes(runs, level)
+            assert all(x["max_k"] < y["min_k"] for x, y in zip(nodes, nodes[1:], strict=False))
+        assert pairs(store.latest()) == model
+    assert pairs(store.range(3, 90)) == {k: v for k, v in model.items() if 3 <= k <= 90}
+    assert pairs(store.get(50)) == {k: v for k, v in model.items() if k == 50}
+    merges = store.merges().collect()
+    assert len(merges) > 2 and all(m["seconds"] > 0 for m in merges)
+    if policy == "all":
+        assert store.height() >= 3
+    assert store.merge_pages() > 0 and len(store.touched(3, 3)) < len(store.runs())
+    while (before := sum(map(store._live, store._nodes(store.runs(), 1)))) and store.compact(1):
+        assert before
+    store.vacuum(0)
+    assert pairs(store.latest()) == model
+
+
+def test_push_down_resumes(spark):
+    """A node far too large moves 2 * node_rows records at a time; the file stays, its moved records are passed over."""
+    store = Store(spark, new_path(spark, "resume"), StoreConfig(fanout=1), node_rows=10)
+    rows = spark.range(95).select(F.col("id").alias("seq"), F.col("id").alias("k"), F.col("id").cast("int").alias("v"), F.lit(None).cast("binary").alias("payload"))
+    store.ingest(rows)
+    store.compact()
+    for moves in range(1, 5):
+        node = store._nodes(store.runs(), 1)[0]
+        store.push_down(node)
+        assert store._nodes(store.runs(), 1)[0]["consumed_upto"] == 20 * moves - 1
+        assert store.log().count() == 95 and store.latest().count() == 95
+    assert [x["level"] for x in store.touched(5, 6)] == [2]
+    store.push_down(store._nodes(store.runs(), 1)[0])
+    assert store.height() == 1 and store.latest().count() == 95
+
+
+def test_vacuum_leaves_what_is_being_written(spark):
+    store = Store(spark, new_path(spark, "grace"))
+    rows = spark.createDataFrame([(0, 1, 1, None)], "seq long, k long, v int, payload binary")
+    store.ingest(rows)
+    pending = f"{store.path}/runs/pending"
+    rows.write.parquet(pending)
+    assert store.vacuum() == []
+    assert store.vacuum(0) == [pending]
+    assert store.latest().count() == 1
+
+
+def test_streams_share_a_store(spark, tmp_path):
+    """A stream on a store with epochs, a second stream, and a repeated batch: nothing is lost, nothing comes twice."""
+    make = lambda low: spark.range(low, low + 20).select(F.col("id").alias("seq"), F.col("id").alias("k"), F.col("id").cast("int").alias("v"), F.lit(None).cast("binary").alias("payload"))
+    store = Store(spark, new_path(spark, "shared"), StoreConfig(fanout=2))
+    for k in range(3):
+        store.ingest(make(1000 + 100 * k))
+    for name, low in (("one", 0), ("two", 100)):
+        make(low).repartition(3).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(make(0).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        ingest.start(stream, store, str(tmp_path / f"{name}-cp"), flush_by_size=name == "two", throttle=True).awaitTermination()
+    assert store.latest().count() == 100 and len(store._state()["streams"]) == 2
+    name, last = next(iter(store._state()["streams"].items()))
+    versions = store.versions()
+    store.ingest(make(5000), batch=(name, last))
+    assert store.versions() == versions and store.latest().count() == 100
+
+
+def test_epochs_by_size(spark):
+    rows = spark.range(1000, 1250).select(F.col("id").alias("seq"), (F.col("id") % 7).alias("k"))
+    counts = dict(rows_of(ingest.by_size(rows, 5, StoreConfig()).groupBy("epoch").count()))
+    assert counts == {5: 93, 6: 93, 7: 64}
+
+
+def test_exact_division(spark):
+    values = [0, 1, -1, 92, 93, -93, -94, BIG, -BIG - 1, (1 << 53) + 1]
+    rows = spark.createDataFrame([(v,) for v in values], "seq long")
+    got = {r["seq"]: (r["a"], r["b"]) for r in rows.select("seq", floor_div(F.col("seq"), 93).alias("a"), ceil_div(F.col("seq"), 93).alias("b")).collect()}
+    assert got == {v: (v // 93, -(-v // 93)) for v in values}
+
+
 def test_concurrent_writers_are_seen(spark):
     store = Store(spark, new_path(spark, "race"))
     rows = spark.createDataFrame([(0, 1, 1, None)], "seq long, k long, v int, payload binary")
@@ -231,6 +334,19 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_workload(spark):
+    store = Store(spark, new_path(spark, "worked"), StoreConfig(fanout=2))
+    small = workload.Workload(no_ops=90, insert_prop=0.6, max_key=40, measure_freq=30, insert_per_second=1000, total_queries=5, measure_insertion_rate=True, measure_insertion_time=True)
+    done, model, want = workload.execute(store, small), {}, {}
+    for low in (0, 30, 60):
+        ops = workload.operations(spark, small).where((F.col("op_no") >= low) & (F.col("op_no") < low + 30)).collect()
+        for o in ops:
+            if o["is_query"]:
+                want[o["op_no"]] = sum(o["key"] <= k <= (o["high"] if o["is_range"] else o["key"]) for k in model)
+        model |= {o["key"]: o["val"] for o in ops if o["is_insertion"]}
+    assert {x["op_no"]: x["n"] for x in done.answers.collect()} == want and want
+    assert {x["k"]: x["v"] for x in store.latest().collect()} == model
+    assert done.stats.columns == ["first_op", "inserts", "queries", "insert_seconds", "query_seconds", "inserts_per_second", "pages_read"] and done.stats.count() == 3
+    assert len({o["key"] for o in workload.operations(spark, small).where("is_query").collect()}) <= 5
     work = workload.Workload(no_ops=3000, insert_prop=0.7, zipfian_query=True, max_key=1000)
     ops = workload.operations(spark, work).cache()
     assert abs(ops.where("is_insertion").count() / 3000 - 0.7) < 0.05
