@@ -70,7 +70,39 @@ _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _secrets_sql() -> str:
+    """Spans of every rule: running lengths of what stands between matches and of the matches."""
+    parts = []
+    for rank, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"select doc_id, '{rule.kind}' kind, {rank} rank, i, len(g[i]) gap, len(m[i]) n, len(x[i]) own, {rule.least} least "
+            f"from (select doc_id, string_split_regex(t, '{pattern}') g, regexp_extract_all(t, '{pattern}') m, regexp_extract_all(t, '{pattern}', {rule.group}) x from d) a, unnest(range(1, len(m) + 1)) u(i)"
+        )
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    counts = ", ".join(f"count(case when kind = '{r.kind}' then 1 end) n_{r.kind}" for r in secrets.BASE)
+    listed = lambda where: f"coalesce(string_agg(case when {where} then kind || ':' || st || ':' || (st + n) end, ',' order by st, rank, n), '')"
+    return (
+        f"with d as (select doc_id, coalesce(text, '') t from documents), m as ({' union all '.join(parts)}), "
+        "p as (select *, sum(gap + n) over (partition by doc_id, rank order by i) - n st from m), s as (select * from p where own >= least) "
+        f"select d.doc_id, {counts}, sha256({listed(f'kind in ({base})')}) base_sha256, {listed('kind is not null')} spans from d left join s on d.doc_id = s.doc_id group by d.doc_id"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_near_dup": rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 2], ' ') g from d, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) t(i) where len(ws) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id id, doc_id root from d union select e.b, r.root from r join e on r.id = e.a),
+c as (select id, min(root) component_id from r group by id)
+select d.doc_id, coalesce(n.n, 0) n_shingles, component_id, d.doc_id = component_id kept from d join c on d.doc_id = id left join n on d.doc_id = n.doc_id""",
+    "op8_secrets": _secrets_sql(),
     "op4_decontaminate": rf"""
 with d as (select doc_id, {_ALNUM} ws from documents),
 i as (select item_id, {_ALNUM} ws from benchmark),
