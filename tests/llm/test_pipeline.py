@@ -3,10 +3,12 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, mixing, near_dup, quality
 from tessera.llm.tokens import LowerBpe, public_path
+from tests.llm.conftest import ODD, words
 from tests.llm.test_operators import plain_groups, plain_hits, texts
 
 
@@ -28,3 +30,21 @@ def test_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_on_odd_tables(spark, table, sf_dir):
+    """Null and blank texts, ties, repeated rows, null ids, a long text, clashing columns, and an empty table, through every stage."""
+    natural = [(100 + i, " ".join(words(i, 80, 3000)), "en", f"s{i % 3}") for i in range(12)]
+    rows = [*ODD, *natural, natural[0], (None, natural[3][1], None, None)]
+    source = table(rows).withColumns({c: F.lit(c) for c in ("__set", "__size", "target", "__q_script", "doc")})
+    for docs in (source, source.limit(0)):
+        whole = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            alone = stage(spark, docs, sf_dir)
+            assert alone.columns == docs.columns, name
+            assert all(r["target"] == "target" and r["__set"] == "__set" and r["doc"] == "doc" for r in alone.collect()), name
+            whole = stage(spark, whole, sf_dir).cache()
+        last = corpus_pipeline.token_output(spark, whole, sf_dir)
+        assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() == whole.count()
+        left = {i for i, _ in texts(whole)}
+        assert not left & {1, 2, 3, 4} and (left <= {r[0] for r in natural} | {6} if docs is source else not left)
