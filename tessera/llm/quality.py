@@ -123,17 +123,19 @@ class Fertility:
         self.pieces = PieceBpe(paths[0])
         self.plain = LowerBpe(paths[1])
         self.lengths = Lengths(self.plain._word)
+        self.tables = (self.pieces.words, self.plain.words, self.lengths)
+        for words in self.tables:
+            words.most = CACHE_WORDS // 2  # there are several
 
     def forget(self) -> None:
-        for words in (self.pieces.words, self.plain.words, self.lengths):
+        for words in self.tables:
             words.clear()
 
     def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float, float]:
         """n_tokens, and the measures in their order; `chars` are the words' code points."""
         ids = self.pieces.encode(words)
         n, m = len(ids), self.lengths.total(words)
-        if len(self.plain.words) > CACHE_WORDS:
-            self.plain.words.clear()
+        self.plain.words.trim()
         other = chars / m if m else 0.0
         if not n:
             return 0, 0.0, 0.0, 0.0, other

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ROWS, as_bytes, materialize, new_path, remove, salted_join
-from .tokens import LowerBpe, loaded, public_path
+from .tokens import CACHE_WORDS, LowerBpe, loaded, public_path
 
 END_ID = 2
 HASH_BYTES = 16
@@ -101,9 +101,10 @@ class Merkle:
 _ROWS = "is_chunk boolean, key binary, ids binary, doc_id long, n_tokens long, chunks binary"
 
 
-def _encode(docs: DataFrame, path: str) -> DataFrame:
+def _encode(docs: DataFrame, path: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(LowerBpe, path)
+        encoder.words.most = words
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             seen: dict[bytes, bytes] = {}
             recipes = []
@@ -143,10 +144,10 @@ def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> str:
-    """Encode whole texts, append the end id, and write a store; returns its path."""
+def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, words: int = CACHE_WORDS) -> str:
+    """Encode whole texts, append the end id, and write a store; returns its path. A worker remembers so many `words`."""
     spark = docs.sparkSession
-    rows = _encode(docs, vocabulary or public_path("word_bpe_49k.json"))
+    rows = _encode(docs, vocabulary or public_path("word_bpe_49k.json"), words)
     dealt = rows.repartition("key").sortWithinPartitions("is_chunk", "key").mapInArrow(_first_of_equal, _ROWS)
     dealt.write.option("compression", "zstd").partitionBy("is_chunk").parquet(f"{path}/staged")
 
@@ -335,9 +336,9 @@ def read_ids(spark: SparkSession, path: str, wanted: DataFrame | None = None) ->
     return whole.select("doc_id", "start", good.alias("ids"))
 
 
-def token_ids(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> DataFrame:
+def token_ids(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, words: int = CACHE_WORDS) -> DataFrame:
     """Write a store of all documents, check its manifest, and return the index read from its files."""
     spark = docs.sparkSession
-    path = write_store(docs, path or new_path(spark, "token-store"), vocabulary)
+    path = write_store(docs, path or new_path(spark, "token-store"), vocabulary, words)
     verify_manifest(spark, path)
     return document_index(spark, path)

@@ -13,25 +13,28 @@ from array import array
 
 import numpy as np
 
-#: Entries after which a worker forgets its words: about 70 MB. An executor's workers share its memory with the JVM.
-CACHE_WORDS = 300_000
+#: Entries after which a worker forgets its words: about 120 MB, unless it is told to keep fewer. An executor's workers share its memory with the JVM.
+CACHE_WORDS = 600_000
 
 
 class Words(dict):
     """word (bytes) -> its ids as little-endian uint16 bytes; unknown words are encoded on first use."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = CACHE_WORDS):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.encode(word)
         self[word] = ids
         return ids
 
-    def ids(self, words: list[bytes]) -> bytes:
-        if len(self) > CACHE_WORDS:
+    def trim(self) -> None:
+        if len(self) > self.most:
             self.clear()
+
+    def ids(self, words: list[bytes]) -> bytes:
+        self.trim()
         return b"".join(map(self.__getitem__, words))
 
 
@@ -43,8 +46,7 @@ class Lengths(Words):
         return n
 
     def total(self, words: list[bytes]) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
+        self.trim()
         return sum(map(self.__getitem__, words))
 
 
