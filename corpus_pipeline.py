@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import decontaminate, mixing, near_dup, quality, token_store
 from tessera.llm.common import materialize
 
+#: Words that a worker of the token store remembers: about 70 MB, as executors hold memory of earlier stages.
+WORDS = 300_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave their language's fertility bands go. Null and blank texts fail; ties at a band's edge stay."""
@@ -42,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, from the token store's files. A null text has the end id alone, a null doc_id comes first."""
-    return token_store.token_ids(docs)
+    return token_store.token_ids(docs, words=WORDS)
 
 
 STAGES = [
