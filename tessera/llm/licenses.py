@@ -32,7 +32,7 @@ from .common import alnum_words, as_bytes, map_arrow
 #: Fixed values of the base scan: phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Public license wordings (fixed values), whole: conditions, clauses and disclaimers with what may be left out or replaced. Labels are
+#: Public license wordings (fixed values): conditions, clauses and disclaimers with what may be left out or replaced. Labels are
 #: SPDX identifiers where one exists; the -grant, -notice and -version templates are wordings that stand alone in practice.
 TEMPLATES = {
     "mit": """
@@ -106,7 +106,7 @@ TEMPLATES = {
         <<optional>>as published by the free software foundation<</optional>> <<optional>>either<</optional>> version <<one 1|2|3|2 1>>""",
     "gpl-version": """
         gnu general public license <<optional>>as published by the free software foundation either<</optional>> <<one version|v>> <<one 1|2|3>>""",
-    "unlicense": """
+    "unlicense-notice": """
         this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
         software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means""",
     "zlib": """
