@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .common import as_bytes, left_join, map_arrow, materialize, plain_words
-from .tokens import CACHE_WORDS, Lengths, LowerBpe, PieceBpe, loaded, public_path, release
+from .tokens import CACHE_WORDS, LowerBpe, PieceBpe, Words, loaded, packed, public_path, release
 
 SYMBOLS = b"#*$%&|<>"
 #: A text needs this many words, and at most this percentage of them in repeated 3-word windows.
@@ -57,18 +57,22 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 FEATURES = "n_tokens long, chars_per_token double, byte_share double, entropy_share double, chars_per_word_token double, script string"
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words that lie in a 3-word window which the text has twice or more."""
-    n = len(words)
+def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Each word's number, which is where it first stands; the different words, and how often each stands."""
+    first: dict[bytes, int] = {}
+    ids = np.fromiter(map(first.setdefault, words, range(len(words))), dtype=np.int64, count=len(words))
+    places = np.fromiter(first.values(), dtype=np.int64, count=len(first))
+    return ids, list(first), np.bincount(ids, minlength=len(words))[places]
+
+
+def repeated_words(ids: np.ndarray) -> int:
+    """Words, given by number, that lie in a 3-word window which the text has twice or more."""
+    n = len(ids)
     if n < 4:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n)
-    if len(number) == n:
-        return 0
-    if len(number) < 1 << 21:
+    if n < 1 << 21:
         keys = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
-    else:  # too many different words for one key: number the pairs first
+    else:  # too many words for one key: number the pairs first
         pairs = np.unique((ids[:-1] << 31) | ids[1:], return_inverse=True)[1].astype(np.int64)
         keys = (pairs[:-1] << 32) | ids[2:]
     order = np.argsort(keys, kind="stable")
@@ -117,30 +121,44 @@ def script(text: bytes | None) -> str:
 
 
 class Fertility:
-    """Both vocabularies' encoders of a worker."""
+    """Both vocabularies' encoders of a worker, with one table of the words that it has seen."""
 
     def __init__(self, paths: tuple[str, str]):
         self.pieces = PieceBpe(paths[0])
         self.plain = LowerBpe(paths[1])
-        self.lengths = Lengths(self.plain._word)
-        self.tables = (self.pieces.words, self.plain.words, self.lengths)
-        for words in self.tables:
-            words.most = CACHE_WORDS // 2  # there are several
+        self.plain.words.most = CACHE_WORDS // 8  # only marks and what stands before them
+        self.words = Words(self._word)
 
     def forget(self) -> None:
-        for words in self.tables:
-            words.clear()
+        self.words.clear()
+        self.plain.forget()
+
+    def _word(self, word: bytes) -> bytes:
+        """The number of plain ids, in two halves, and then the pieces' ids."""
+        n = self.plain.count(word)
+        return packed([n & 0xFFFF, n >> 16, *self.pieces.encode(word)])
 
     def measures(self, words: list[bytes], chars: int) -> tuple[int, float, float, float, float]:
         """n_tokens, and the measures in their order; `chars` are the words' code points."""
-        ids = self.pieces.encode(words)
-        n, m = len(ids), self.lengths.total(words)
+        return self.counted(*numbered(words)[1:], chars)
+
+    def counted(self, words: list[bytes], times: np.ndarray, chars: int) -> tuple[int, float, float, float, float]:
+        """The same from different words and how often each stands."""
+        self.words.trim()
         self.plain.words.trim()
+        known = list(map(self.words.__getitem__, words))
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 2
+        ids = np.frombuffer(b"".join(known), dtype="<u2")
+        heads = np.cumsum(sizes) - sizes
+        m = int(((ids[heads] + (ids[heads + 1].astype(np.int64) << 16)) * times).sum())
+        weights = np.repeat(times, sizes)
+        weights[heads] = weights[heads + 1] = 0
+        n = int(weights.sum())
         other = chars / m if m else 0.0
         if not n:
             return 0, 0.0, 0.0, 0.0, other
-        counts = np.bincount(ids, minlength=len(self.pieces.bytes))
-        fallback = int(counts[self.pieces.bytes].sum())
+        counts = np.bincount(ids, weights=weights, minlength=len(self.pieces.bytes))
+        fallback = int(counts[: len(self.pieces.bytes)][self.pieces.bytes].sum())
         counts = counts[counts > 0]
         entropy = np.log2(n) - float((counts * np.log2(counts)).sum()) / n
         return n, chars / n, fallback / n, entropy / np.log2(n) if n > 1 else 1.0, other
@@ -157,8 +175,9 @@ def measured(texts: pa.Array, paths: tuple[str, str]) -> dict[str, pa.Array]:
             rows.append((0, 0, symbols, 0, 0, True, 0, 0.0, 0.0, 0.0, 0.0, ""))
             continue
         chars = length - (len(text) - sum(map(len, words)))
-        repeat = repeated_words(words)
-        rows.append((len(words), chars, symbols, duplicate_lines(text), repeat, base_failed(len(words), repeat), *encoders.measures(words, chars), script(text)))
+        ids, different, times = numbered(words)
+        repeat = repeated_words(ids) if len(different) < len(words) else 0
+        rows.append((len(words), chars, symbols, duplicate_lines(text), repeat, base_failed(len(words), repeat), *encoders.counted(different, times, chars), script(text)))
     names = [c.split()[0] for c in f"{BASE}, {FEATURES}".split(", ")]
     return {name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(zip(names, TYPES, strict=True))}
 

@@ -38,18 +38,6 @@ class Words(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-class Lengths(Words):
-    """word (bytes) -> how many ids it has."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.encode(word)) // 2
-        return n
-
-    def total(self, words: list[bytes]) -> int:
-        self.trim()
-        return sum(map(self.__getitem__, words))
-
-
 def packed(ids: list[int]) -> bytes:
     return array("H", ids).tobytes()
 
@@ -78,21 +66,41 @@ class LowerBpe:
     def forget(self) -> None:
         self.words.clear()
 
-    def _letters(self, piece: str) -> bytes:
-        """A run of Latin letters is one pre-token, and no normaliser but lower-casing changes it: the model alone gives its ids."""
-        raw = piece.lower().encode().decode("latin-1").translate(self.shown)
-        return packed([t.id for t in self.model.tokenize(raw)])
-
-    def _word(self, word: bytes) -> bytes:
+    def _letters(self, piece: str) -> list:
+        """A run of Latin letters is one pre-token, and no normaliser but lower-casing changes it: the model alone gives its tokens."""
+        raw = piece.lower()
+        if not raw.isascii():
+            raw = raw.encode().decode("latin-1").translate(self.shown)
+        return self.model.tokenize(raw)
+
+    def _parts(self, word: bytes) -> tuple[list, bytes, bytes]:
+        """Tokens of a word that is a letter run; or the letter run and the marks after it, which are two pre-tokens; or nothing."""
+        if word.isalpha():  # ASCII letters only, as these are bytes
+            return self._letters(word.decode()), b"", b""
         text = word.decode("utf-8", "replace")
         if LATIN.fullmatch(text):
-            return self._letters(text)
-        if (head := len(text.rstrip(MARKS))) and LATIN.fullmatch(text, 0, head):
-            # a letter run and the marks after it are two pre-tokens
-            marks = len(text) - head
-            if marks:
-                return self.words[word[:-marks]] + self.words[word[-marks:]]
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return self._letters(text), b"", b""
+        head = len(text.rstrip(MARKS))
+        if 0 < head < len(text) and LATIN.fullmatch(text, 0, head):
+            return [], word[: head - len(text)], word[head - len(text) :]
+        return [], b"", b""
+
+    def _word(self, word: bytes) -> bytes:
+        tokens, letters, marks = self._parts(word)
+        if tokens:
+            return packed([t.id for t in tokens])
+        if letters:
+            return self.words[letters] + self.words[marks]
+        return packed(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def count(self, word: bytes) -> int:
+        """How many ids a word has; only parts of words are remembered."""
+        tokens, letters, marks = self._parts(word)
+        if tokens:
+            return len(tokens)
+        if letters:
+            return (len(self.words[letters]) + len(self.words[marks])) // 2
+        return len(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """All ids of a whole text. ASCII lower-casing first is safe, as the file's normaliser lower-cases anyway,
@@ -114,13 +122,9 @@ class PieceBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         self.bytes = np.array([self.model.is_byte(i) for i in range(size)])
-        self.words = Words(lambda w: packed(self.model.encode(w.decode("utf-8", "replace"))))
-
-    def forget(self) -> None:
-        self.words.clear()
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(self.words.ids(words), dtype="<u2")
+    def encode(self, word: bytes) -> list[int]:
+        return self.model.encode(word.decode("utf-8", "replace"))
 
 
 _LOADED: dict[tuple, object] = {}
