@@ -13,6 +13,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,6 +104,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_FREEING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, an execution's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+
+    For frames that are run once, as ``materialize`` does; one that is run again would make its shuffles anew."""
+    before = spark.conf.get(_FREEING, "false")
+    spark.conf.set(_FREEING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREEING, before)
+
+
+class Scratch:
+    """Tables that a query writes on its way; ``drop`` removes their files as soon as nothing will read them."""
+
+    def __init__(self) -> None:
+        self.paths: dict[DataFrame, str] = {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """As ``materialize``."""
+        path = new_path(df.sparkSession, label)
+        df.write.parquet(path)
+        table = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths[table] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove(table.sparkSession, self.paths.pop(table))
+
+
 #: A key is hot with more than one in HOT of all rows; so there are fewer than HOT of them, which are broadcast.
 HOT = 1_000
 

@@ -24,6 +24,9 @@ so sketches merge; equal registers are about as likely as the Jaccard similarity
    copied about once each unless more than BLOCK members of one group have no link. A cell tells only links that join components.
 5. Links are contracted to components; a component is named by its smallest doc_id.
 
+A step's shuffle files go when it ends, and sketches, keys and differences when nothing reads them any more, so the
+disk in use is that of one step.
+
 So no pairs within a group are made into rows, and a link between different texts that share a key
 is either found or lies within a component found without it.
 
@@ -45,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import as_bytes, free_name, left_join, map_arrow, materialize
+from .common import Scratch, as_bytes, free_name, left_join, map_arrow, materialize, shuffles_freed
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -268,7 +271,8 @@ _IN_CELLS = "leader", "block", "piece", "streams", "node", "root", "n", "apart",
 def _joining(tested: DataFrame, roots: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """a, b: links within leaders' groups that join different components."""
     placed = tested.dropDuplicates(["leader", "node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed, "differences")
+    scratch = Scratch()
+    placed = scratch.write(placed, "differences")
     sizes = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.count_if(~F.col("linked")).alias("alone"))
     grid = sizes.where("alone > 0").select(
         "leader", "members", F.ceil(F.col("alone") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("members") / F.greatest(F.lit(PIECE), F.least("alone", F.lit(BLOCK)))).cast("int").alias("pieces")
@@ -297,7 +301,9 @@ def _joining(tested: DataFrame, roots: DataFrame, rules: tuple[Rule, ...]) -> Da
                     block.add(node, root, n, own)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long")
+    found = materialize(cells.mapInArrow(run, "a long, b long"), "joining")
+    scratch.drop(placed)
+    return found
 
 
 class Block:
@@ -362,16 +368,22 @@ def _classes(sketches: DataFrame) -> DataFrame:
     return one.select("set_key", "x.doc_id", "x.n", "x.sketch").withColumn("node", F.monotonically_increasing_id())
 
 
-def links(docs: DataFrame, classes: DataFrame, rules: tuple[Rule, ...] = CONTRACT) -> DataFrame:
-    """a, b: verified links between classes that connect all that are linked."""
-    keys = materialize(_keys(classes, rules), "keys")
+def _candidates(classes: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """leader, node of all pairs within a key's group, and of those that any rule finds likely."""
+    scratch = Scratch()
+    keys = scratch.write(_keys(classes, rules), "keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    grouped = materialize(keys.join(sizes, "key"), "groups")
+    grouped = scratch.write(keys.join(sizes, "key"), "groups")
+    scratch.drop(keys)
     crowds = grouped.groupBy("node").agg(F.sum("size").alias("crowd"))
     leaders = grouped.join(crowds, "node").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("node")).alias("back"))).alias("x")).select("key", (-F.col("x.back")).alias("leader"))
     pairs = materialize(grouped.join(leaders, "key").where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "pairs")
+    scratch.drop(grouped)
+    return pairs, materialize(_estimated(pairs, classes, rules), "likely")
 
-    likely = materialize(_estimated(pairs, classes, rules), "likely")
+
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, likely: DataFrame, rules: tuple[Rule, ...] = CONTRACT) -> DataFrame:
+    """a, b: verified links between classes that connect all that are linked."""
     tested = _verified(likely, _texts(docs, classes, likely), False, rules).where("linked")
     near = materialize(tested.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near")
     roots = components(near)
@@ -380,7 +392,7 @@ def links(docs: DataFrame, classes: DataFrame, rules: tuple[Rule, ...] = CONTRAC
     mixed = placed.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("leader")
     rest = materialize(pairs.join(mixed, "leader"), "mixed")
     listed = _verified(rest, _texts(docs, classes, rest), True, rules)
-    return near.unionByName(materialize(_joining(listed, roots, rules), "joining"))
+    return near.unionByName(_joining(listed, roots, rules))
 
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -391,26 +403,33 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
-    """The sketches, and set_key, doc_id, root, component_id of each class."""
-    sketches = materialize(sketched(docs, rules), "sketches")
-    classes = materialize(_classes(sketches), "classes")
-    roots = components(links(docs, classes, rules))
-    names = classes.select("set_key", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """doc_id, n (by the first rule), set_key of each row, and set_key, doc_id, root, component_id of each class."""
+    scratch = Scratch()
+    with shuffles_freed(docs.sparkSession):
+        sketches = scratch.write(sketched(docs, rules), "sketches")
+        whole = scratch.write(_classes(sketches), "classes")
+        sets = materialize(sketches.select("doc_id", F.col("n")[0].alias("n"), "set_key"), "sets")
+        scratch.drop(sketches)
+        pairs, likely = _candidates(whole, rules)
+        classes = materialize(whole.select("set_key", "doc_id", "node"), "names")
+        scratch.drop(whole)
+        roots = components(links(docs, classes, pairs, likely, rules))
+    names = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = names.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return sketches, names.join(least, "root").select("set_key", "doc_id", "root", "component_id")
+    return sets, names.join(least, "root").select("set_key", "doc_id", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, rules: tuple[Rule, ...] = CONTRACT) -> DataFrame:
     """doc_id, n_shingles (by the first rule), component_id, kept: one row per document row."""
-    sketches, classes = _named(docs, rules)
-    joined = sketches.select("doc_id", F.col("n")[0].alias("n"), "set_key").join(classes.select("set_key", "component_id"), "set_key", "left")
+    sets, classes = _named(docs, rules)
+    joined = sets.join(classes.select("set_key", "component_id"), "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, rules: tuple[Rule, ...] = CONTRACT) -> DataFrame:
     """One document of each component, that with the smallest doc_id, and all documents with empty sets; all columns of docs."""
-    sketches, classes = _named(docs, rules)
+    sets, classes = _named(docs, rules)
     # where the smallest doc_id stands for several sets, the smallest key decides
     own, key, doc = (free_name(c, docs.columns) for c in ("__set", "__key", "__doc"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias(doc), F.col("set_key").alias(key)))
@@ -424,7 +443,9 @@ def drop_near_duplicates(docs: DataFrame, rules: tuple[Rule, ...] = CONTRACT) ->
     keyed = map_arrow(docs, fn, StructType([*docs.schema.fields, StructField(own, BinaryType())]))
     kept = keyed.join(chosen, (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
     kept = kept.where(F.col(own).isNull() | F.col(key).isNotNull())
-    if not sketches.where(F.col("n")[0] > 0).groupBy("doc_id", "set_key").count().where(F.col("count") > 1).isEmpty():
+    with shuffles_freed(docs.sparkSession):
+        repeated = not sets.where("n > 0").groupBy("doc_id", "set_key").count().where(F.col("count") > 1).isEmpty()
+    if repeated:
         alone = kept.where(F.col(own).isNotNull()).dropDuplicates([own])  # equal rows: one of them
         kept = alone.unionByName(kept.where(F.col(own).isNull()))
     return kept.select(*docs.columns)

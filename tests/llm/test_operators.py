@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -577,6 +579,35 @@ def test_near_dup_of_the_stage(spark, table):
     assert {r["doc_id"] for r in near_dup.drop_near_duplicates(source).collect()} & set(range(600, 700)) == {600, 601, 610, 620, 621}
 
 
+def test_near_dup_frees_its_disk(spark, table):
+    """Large tables and shuffle files go while a query runs; rows are the same as with all of them kept."""
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    base = words(30, 400, 5000)
+    source = table([*ODD, *((700 + i, edited(base, i, 10 + 2 * (i % 12))) for i in range(40))])
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for value in ("false", "true"):
+        spark.conf.set(setting, value)
+        shared.mkdir(exist_ok=True)
+        there, had = set(shared.iterdir()), shuffles()
+        named = near_dup._named(source, near_dup.STAGE)
+        left = {p.name.rpartition("-")[0] for p in set(shared.iterdir()) - there}
+        assert "sets" in left and "joining" in left and not left & {"sketches", "classes", "keys", "groups", "differences"}
+        end = time.monotonic() + 10  # executors remove them a little later
+        while (more := shuffles() - had) and time.monotonic() < end:
+            time.sleep(0.1)
+        assert not more
+        assert spark.conf.get(setting) == value
+        assert named[0].count() == source.count()
+    spark.conf.unset(setting)
+    assert rows(near_dup.near_duplicates(source)) == plain_groups(source)
+
+
 def test_block_links_by_any_rule():
     base = words(28, 300, 5000)
     members = [near_dup.shingle_sets(t.encode(), near_dup.STAGE) for t in [*(edited(base, 70 + k, 10) for k in range(4)), *(" ".join(base + words(29, n, 5000)) for n in (90, 100, 160))]]
