@@ -1,12 +1,14 @@
 """The pipeline against its stages by brute force."""
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, mixing, near_dup, quality
+from tessera.llm.common import shared_dir
 from tessera.llm.tokens import LowerBpe, public_path
 from tests.llm.conftest import ODD, words
 from tests.llm.test_operators import plain_groups, plain_hits, texts
@@ -48,3 +50,13 @@ def test_stages_on_odd_tables(spark, table, sf_dir):
         assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() == whole.count()
         left = {i for i, _ in texts(whole)}
         assert not left & {1, 2, 3, 4} and (left <= {r[0] for r in natural} | {6} if docs is source else not left)
+
+
+def test_run_keeps_one_stage(spark, sf_dir):
+    """A stage's documents go when the next stage's are written; the last stage's input stays for its result."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    shared.mkdir(exist_ok=True)
+    there = set(shared.glob("stage-*"))
+    result = corpus_pipeline.run(spark, sf_dir)
+    assert [p.name[:7] for p in set(shared.glob("stage-*")) - there] == ["stage-3"]
+    assert result.count() == result.count() > 0
