@@ -37,37 +37,49 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ROWS, as_bytes, materialize, new_path, remove, salted_join
-from .tokens import CACHE_WORDS, LowerBpe, loaded, public_path
+from .tokens import CACHE_WORDS, BulkLowerBpe, loaded, public_path
 
 END_ID = 2
 HASH_BYTES = 16
 #: Ids that the rolling hash sees (a power of 2), the bits that make a cut (one id in 256 on average), and the limits of a chunk.
 WINDOW, MASK, LEAST, MOST = 16, np.uint32(0xFF000000), 32, 2048
+#: Bytes of texts that are encoded at once.
+BUNDLE = 1 << 20
 
 _GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 32, size=1 << 16, dtype=np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids; the last is len(ids)."""
-    n = len(ids)
+def _candidates(ids: np.ndarray) -> np.ndarray:
+    """Places after which the hash may cut. Of several documents one after another, a window that begins in another
+    document doesn't matter, as a cut has LEAST ids of its own before it."""
     rolled = _GEAR[ids]
     width = 1
     while width < WINDOW:  # doubles the window: the hash of 2w ids from those of w
         longer = rolled.copy()
         longer[width:] += rolled[:-width] << np.uint32(width)
         rolled, width = longer, 2 * width
-    ends, begin = [], 0
-    for at in (np.flatnonzero((rolled & MASK) == MASK) + 1).tolist():
+    return np.flatnonzero((rolled & MASK) == MASK) + 1
+
+
+def _cut(candidates: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the document that stands from begin to end."""
+    ends = []
+    for at in candidates:
         while at - begin > MOST:
             begin += MOST
             ends.append(begin)
-        if at - begin >= LEAST and at < n:
+        if at - begin >= LEAST and at < end:
             ends.append(at)
             begin = at
-    while n - begin > MOST:
+    while end - begin > MOST:
         begin += MOST
         ends.append(begin)
-    return [*ends, n]
+    return [*ends, end]
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document's ids; the last is len(ids)."""
+    return _cut(_candidates(ids).tolist(), 0, len(ids))
 
 
 def address(ids: bytes) -> bytes:
@@ -101,22 +113,43 @@ class Merkle:
 _ROWS = "is_chunk boolean, key binary, ids binary, doc_id long, n_tokens long, chunks binary"
 
 
+def _bundles(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """The texts in order, BUNDLE bytes at once or a longer one alone."""
+    out, size = [], 0
+    for text in texts:
+        size += len(text or b"")
+        if out and size > BUNDLE:
+            yield out
+            out, size = [], len(text or b"")
+        out.append(text)
+    if out:
+        yield out
+
+
 def _encode(docs: DataFrame, path: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = loaded(LowerBpe, path)
-        encoder.words.most = words
+        encoder = loaded(BulkLowerBpe, path)
+        encoder.most = words
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             seen: dict[bytes, bytes] = {}
             recipes = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                ids = np.append(encoder.encode(text), np.uint16(END_ID)).astype("<u2")
-                raw, begin, hashes = ids.tobytes(), 0, []
-                for end in cuts(ids):
-                    chunk = raw[2 * begin : 2 * end]
-                    hashes.append(key := address(chunk))
-                    seen.setdefault(key, chunk)
-                    begin = end
-                recipes.append((doc_id, len(ids), joined := b"".join(hashes), leaf_of(doc_id, len(ids), joined)))
+            doc_ids = iter(batch.column(0).to_pylist())
+            for texts in _bundles(as_bytes(batch.column(1))):
+                ids, ends = encoder.encode(texts)
+                ids = np.insert(ids, ends, END_ID).astype("<u2", copy=False)
+                ends = ends + np.arange(1, len(ends) + 1)
+                found = _candidates(ids)
+                upto = np.searchsorted(found, ends, "right").tolist()
+                found, raw, begin, before = found.tolist(), ids.tobytes(), 0, 0
+                for end, k in zip(ends.tolist(), upto, strict=True):
+                    n, hashes = end - begin, []
+                    for cut in _cut(found[before:k], begin, end):
+                        chunk = raw[2 * begin : 2 * cut]
+                        hashes.append(key := address(chunk))
+                        seen.setdefault(key, chunk)
+                        begin = cut
+                    before, doc_id = k, next(doc_ids)
+                    recipes.append((doc_id, n, joined := b"".join(hashes), leaf_of(doc_id, n, joined)))
             n, m = len(seen), len(recipes)
             yield pa.RecordBatch.from_arrays(
                 [

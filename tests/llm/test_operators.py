@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import common, components, decontaminate, licenses, mixing, near_dup, pii, quality, queries, secrets, substring_dedup, token_store, url_filter
 from tessera.llm.common import new_path
-from tessera.llm.tokens import LowerBpe, public_path
+from tessera.llm.tokens import BulkLowerBpe, LowerBpe, public_path
 from tests.llm.conftest import ODD, words
 
 
@@ -276,6 +276,36 @@ def test_lower_bpe_equals_plain(docs):
         assert encoder.encode(t.encode()).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_bulk_ids_equal_plain(docs):
+    """Many texts at once, also where the table is often full and where the vocabulary doesn't mark a word's end."""
+    one = LowerBpe(public_path("word_bpe_49k.json"))
+    r = random.Random(5)
+    odd = [None, b"", b" \n", b"a", b"\xff\xfe x\xe2\x82 y\xc3", "İI ÅNGström, ÄÖ!! ŁÓDŹ*** ȺȾ ɏ É".encode(), b"<|endoftext|> a", "n\u0303 a".encode(), b"don't I'LL a.b,c;; . ..", b"\x1c\xc2\x85 q\x00z"]
+    odd += ["".join(r.choice("aB'sé.12 \nßΣÉ,!") for _ in range(40)).encode() for _ in range(300)]
+    many = odd + [(t or "").encode() for _, t in texts(docs)]
+    want = [one.encode(t).tolist() for t in many]
+    for most, marked in ((1_000_000, True), (500, True), (500, False)):
+        bulk = BulkLowerBpe(public_path("word_bpe_49k.json"))
+        bulk.most, bulk.ends = most, bulk.ends if marked else None
+        got = []
+        for k in range(0, len(many), 37):
+            ids, ends = bulk.encode(many[k : k + 37])
+            got += [p.tolist() for p in np.split(ids, ends)[:-1]]
+        assert got == want
+    assert bulk.encode([])[0].tolist() == bulk.encode([None])[0].tolist() == []
+
+
+def test_full_table_keeps_frequent_words():
+    bulk = BulkLowerBpe(public_path("word_bpe_49k.json"))
+    bulk.most, learned = 200, []
+    letters = bulk._letters
+    bulk._letters = lambda runs: learned.extend(runs) or letters(runs)
+    r = random.Random(6)
+    for _ in range(50):
+        bulk.encode([("often again " + " ".join("".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(60))).encode()])
+    assert learned.count(b"often") == learned.count(b"again") == 1 and len(learned) > 10 * bulk.most and bulk.known <= bulk.most + 62
+
+
 def test_token_store(spark, table, docs):
     encoder = LowerBpe(public_path("word_bpe_49k.json"))
     for source in (table(ODD), docs):
