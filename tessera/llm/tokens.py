@@ -11,7 +11,7 @@ import os
 import re
 from array import array
 from collections import defaultdict
-from itertools import count, islice, pairwise
+from itertools import compress, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,10 @@ import pyarrow.compute as pc
 CACHE_WORDS = 600_000
 
 
+#: Words in one call of the library, which bounds the memory that it needs meanwhile.
+AT_ONCE = 2_000
+
+
 class Words(dict):
     """word (bytes) -> its ids as little-endian uint16 bytes; unknown words are encoded on first use."""
 
@@ -126,7 +130,7 @@ def whole_only(text: bytes) -> bool:
 def _room(column: np.ndarray, n: int) -> np.ndarray:
     if n <= len(column):
         return column
-    out = np.zeros(max(n, 2 * len(column)), column.dtype)
+    out = np.zeros(max(n, len(column) * 5 // 4), column.dtype)
     out[: len(column)] = column
     return out
 
@@ -169,7 +173,7 @@ class BulkLowerBpe:
         self.table: dict[bytes, int] = defaultdict(count().__next__)
         self.known = self.stored = 0
         self.ids = np.zeros(1 << 12, "<u2")
-        self.starts, self.lengths, self.met = (np.zeros(1 << 10, np.int64) for _ in range(3))
+        self.starts, self.lengths, self.met = (np.zeros(1 << 10, np.int32) for _ in range(3))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts, one after another, and where each text's end."""
@@ -242,11 +246,14 @@ class BulkLowerBpe:
         if self.ends is None:
             found = [np.array([t.id for t in self.one._letters(r.decode())], "<u2") for r in runs]
             return np.concatenate(found), np.array([len(f) for f in found])
-        raw = b"\n".join(runs)
-        if not raw.isascii():
-            raw = raw.decode().lower().encode()
-        text = self.shown[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
-        ids = np.array(self.runs.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        parts = []
+        for k in range(0, len(runs), AT_ONCE):
+            raw = b"\n".join(runs[k : k + AT_ONCE])
+            if not raw.isascii():
+                raw = raw.decode().lower().encode()
+            text = self.shown[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
+            parts.append(np.array(self.runs.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2"))
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(runs) or ends[-1] != len(ids):
             raise ValueError(f"{len(runs)} words were encoded as {len(ends)}")
@@ -259,8 +266,9 @@ class BulkLowerBpe:
         kept = np.argsort(-met, kind="stable")[: self.most // 2]
         kept = np.sort(kept[met[kept] > 1])
         ids, lengths = self._gather(kept)
-        words = list(self.table)
-        words = [words[k] for k in kept.tolist()]
+        stays = np.zeros(self.known, bool)
+        stays[kept] = True
+        words = list(compress(self.table, stays.tolist()))
         self.forget()
         self.table = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
         self.known = len(words)
